@@ -25,8 +25,10 @@ writes a file of another name, and only files of the written manifest count.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -206,20 +208,81 @@ class _Memo(dict):
         return self.extra[word]
 
 
-@lru_cache(2)
-def _tokenizer(spec: bytes):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+#: A word of letters that normalisation only puts in lower case, and perhaps a mark after it.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+
+
+class WordEncoder:
+    """A tokenizer with what it has said of words.
+
+    by_word: it drops white space after normalising and splitting, so a text's ids are those of its
+    words. plain: it also only lower-cases plain words and keeps letters together, so that their
+    ids come from the BPE model alone, on the byte-level form of the word.
+    """
+
+    def __init__(self, spec: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        form = json.loads(spec)
+        steps = (form.get("normalizer") or {}).get("normalizers") or []
+        cuts = (form.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = next((c for c in cuts if c["type"] == "Split"), {})
+        pattern = split.get("pattern", {}).get("Regex", "")
+        self.by_word = (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": "\\s+"}, " ")
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and (split["behavior"], split["invert"]) == ("Removed", True)
+            and not cuts[1]["add_prefix_space"]
+            and not cuts[1]["use_regex"]
+        )
+        self.plain = self.by_word and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and form["model"]["type"] == "BPE"
+        self.known, self.cores, self.marks = _Memo(), {}, {}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept]
+        # the byte-level alphabet: printable bytes stand for themselves, others for characters from 256 on
+        self.alphabet = {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+    def full(self, texts: list[str], kind: str) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str], kind: str) -> dict[str, bytes]:
+        """The ids of each word."""
+        if not self.plain:
+            return dict(zip(words, self.full(words, kind), strict=True))
+        if not self.marks:
+            self.marks = dict(zip(("", ".", ","), self.full(["", ".", ","], kind), strict=True))
+        width, model, cores = int(kind[2:]), self.tokenizer.model, self.cores
+        out, other = {}, []
+        for word in words:
+            if (m := _PLAIN(word)) is None:
+                other.append(word)
+                continue
+            core = m[1].lower()
+            if (ids := cores.get(core)) is None:
+                made = model.tokenize(core.encode().decode("latin-1").translate(self.alphabet))
+                ids = b"".join([t.id.to_bytes(width, "little") for t in made])
+                if len(cores) < CACHE_WORDS:
+                    cores[core] = ids
+            out[word] = ids + self.marks[m[2]]
+        out.update(zip(other, self.full(other, kind), strict=True))
+        return out
+
 
-    made = Tokenizer.from_str(spec.decode())
-    made.no_truncation()
-    made.no_padding()
-    return made, _Memo()
+@lru_cache(2)
+def _encoder(spec: bytes) -> WordEncoder:
+    return WordEncoder(spec)
 
 
 def id_width(spec: bytes, end_id: int) -> int:
     """Bytes that hold any id of the tokenizer and end_id: 2 or 4."""
-    return 2 if max(_tokenizer(spec)[0].get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    return 2 if max(_encoder(spec).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -234,22 +297,18 @@ def _pieces(text: str) -> Iterator[str]:
 def encode_texts(spec: bytes, texts: list[str], end_id: int, width: int) -> list[bytes]:
     """The ids of whole texts, without special tokens, and the end id, as little-endian numbers of width bytes.
 
-    Words between blanks and line ends are encoded once and remembered, which gives the ids of
-    the whole: the tokenizer's normaliser and splitter never look across white space, and
-    drop it.
+    Where the tokenizer never looks across white space and drops it, words between blanks and
+    line ends are encoded once and remembered, which gives the ids of the whole text.
     """
-    import numpy as np
-
-    tokenizer, known = _tokenizer(spec)
-    kind, end = f"<u{width}", end_id.to_bytes(width, "little")
-    out = []
+    encoder, kind, end = _encoder(spec), f"<u{width}", end_id.to_bytes(width, "little")
+    if not encoder.by_word:
+        return [ids + end for ids in encoder.full(texts, kind)]
+    known, out = encoder.known, []
     for text in texts:
         ids = []
         for piece in _pieces(text):
             words = piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            missing = [w for w in set(words) if w not in known]
-            made = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            known.extra = {w: np.array(e.ids, kind).tobytes() for w, e in zip(missing, made, strict=True)}
+            known.extra = encoder.words([w for w in set(words) if w not in known], kind)
             if len(known) < CACHE_WORDS:
                 known.update(known.extra)
             ids.append(b"".join(map(known.__getitem__, words)))
