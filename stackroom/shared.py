@@ -70,3 +70,14 @@ def fresh(columns: list[str], base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Smaller Arrow batches, for rows that hold whole texts: what Python workers take at a time is
+    bounded by bytes, and by a number of rows that suits them. Settings that were changed stay."""
+    for key, usual, ours in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b"), "16MB"),
+    ):
+        if spark.conf.get(key) in usual:
+            spark.conf.set(key, ours)
