@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackroom.shared import wide_rows
+
 #: Bytes per padding unit of a payload.
 PAD_UNIT = 192
 
@@ -269,6 +271,7 @@ def audio_features(
     16 samples) are of the samples as read back.
     """
     cfg = cfg or AudioConfig()
+    wide_rows(media.sparkSession)
     keep = list(keep)
     if clash := {f.name for f in FEATURE_FIELDS} & set(keep):
         raise ValueError(f"keep names results: {sorted(clash)}")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stackroom.llm import wordblocks as wb
+from stackroom.shared import wide_rows
 
 #: A text that is longer is cut by an iterator, so its pre-tokens are never all in memory.
 LONG_TEXT = 4_000_000
@@ -68,6 +69,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
 def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of each row: ids are little-endian unsigned 32-bit numbers in one binary value."""
     spark = docs.sparkSession
+    wide_rows(spark)
     vocabulary = spark.sparkContext.broadcast(ranks)
     buckets = wb.bucket_count(spark)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

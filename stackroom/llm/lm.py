@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from stackroom.llm import wordblocks as wb
 from stackroom.llm.bpe import _encoder
-from stackroom.shared import materialize, scratch
+from stackroom.shared import materialize, scratch, wide_rows
 
 #: The end of a document as a word: no word is empty.
 END_WORD = b""
@@ -276,6 +276,7 @@ def train_part(id_column):
 def _first_pass(docs: DataFrame, id_col: str, text_col: str, cfg: LmConfig) -> tuple[DataFrame, T.DataType]:
     """The written table of blocks ('D'), packets of words with counts ('W') and sample windows ('S')."""
     spark = docs.sparkSession
+    wide_rows(spark)
     buckets = wb.bucket_count(spark)
     source = docs.select(
         F.col(id_col).alias("id"), train_part(F.col(id_col)).alias("trains"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import fresh, materialize
+from stackroom.shared import fresh, materialize, wide_rows
 
 #: The characters that count as symbols, and the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -203,6 +203,7 @@ class QualityModel:
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, COUNTS) of each row; by row, without a shuffle."""
+    wide_rows(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     schema = T.StructType([T.StructField(id_col, source.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
@@ -308,6 +309,7 @@ def judge(stats: DataFrame, model: QualityModel, id_col: str = "doc_id") -> Data
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """The rows of docs that the base rules and the forest keep, with all their columns; by row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    wide_rows(docs.sparkSession)
     columns = docs.columns
     source = docs.withColumn(fresh(columns, "__data"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackroom.llm.components import connected_components
-from stackroom.shared import fresh, materialize
+from stackroom.shared import fresh, materialize, wide_rows
 
 SEED = 42
 #: Shingles that are hashed at a time.
@@ -62,6 +62,7 @@ def fingerprint(data: bytes, shingle_words: int = 3) -> int:
 
 def add_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle_words: int = 3) -> DataFrame:
     """docs with the fingerprint of each row's text; by row, without a shuffle."""
+    wide_rows(docs.sparkSession)
     source = docs.withColumn(fresh(docs.columns, "__data"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     schema = T.StructType([*docs.schema, T.StructField(out, T.LongType())])
 

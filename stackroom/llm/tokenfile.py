@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import materialize, open_store, scratch
+from stackroom.shared import materialize, open_store, scratch, wide_rows
 
 MAGIC = b"STKIDS01"
 FOOT = struct.Struct("<5Q8s")
@@ -326,6 +326,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
+    wide_rows(spark)
     shared = spark.sparkContext.broadcast(spec)
     width = id_width(spec, end_id)
     # the hash and the row's number deal out rows of one id over several shards

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import materialize, open_store, scratch
+from stackroom.shared import materialize, open_store, scratch, wide_rows
 
 #: Payload bytes after which a new archive is begun.
 ARCHIVE_BYTES = 64 << 20
@@ -134,6 +134,7 @@ def inflate(file) -> Iterator[bytes]:
 
 def write_archives(records: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes planned records as monolithic ``.warc.gz`` files; returns the written manifest."""
+    wide_rows(records.sparkSession)
     folder = folder or scratch(records.sparkSession, "warc")
     source = records.select("id", "url", "payload", "refers_to")
 

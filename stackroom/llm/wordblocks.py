@@ -23,7 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def bucket_count(spark) -> int:
