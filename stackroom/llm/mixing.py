@@ -42,7 +42,7 @@ TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 #: Levels of a statistic, and statistics.
 LEVELS = 8
 STATISTICS = 3
-_BREAKS = "\n\t\r.,;:!?\"()"
+_BREAKS = r"[ \n\t\r.,;:!?\"()]+"
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,8 @@ class DomainModel:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text in lower case, with an empty one for each further blank."""
-    clean = F.translate(F.lower(F.coalesce(text, F.lit(""))), _BREAKS, " " * len(_BREAKS))
-    return F.split(clean, " ")
+    """The words of a text in lower case, with an empty one where it starts or ends with a break."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAKS)
 
 
 def _with(value: Column, then) -> Column:
@@ -74,11 +73,12 @@ def _level(share: Column, steps: tuple[float, ...]) -> Column:
 def statistics(text: Column) -> Column:
     """An array of STATISTICS levels below LEVELS: shares of symbols, capitals and exclamation marks."""
     text = F.coalesce(text, F.lit(""))
-    share = lambda chars: 1 - F.length(F.translate(text, chars, "")) / F.greatest(F.length(text), F.lit(1))
+    # one pass of a regular expression or of a plain search: translate() takes many times as long
+    share = lambda rest: 1 - F.length(rest) / F.greatest(F.length(text), F.lit(1))
     return F.array(
-        _level(share("#*$%&|<>"), (0.005, 0.02, 0.04, 0.08, 0.16, 0.24, 0.32)),
-        _level(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (0.005, 0.01, 0.02, 0.04, 0.1, 0.3, 0.5)),
-        _level(share("!"), (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)),
+        _level(share(F.regexp_replace(text, "[#*$%&|<>]", "")), (0.005, 0.02, 0.04, 0.08, 0.16, 0.24, 0.32)),
+        _level(share(F.regexp_replace(text, "[A-Z]", "")), (0.005, 0.01, 0.02, 0.04, 0.1, 0.3, 0.5)),
+        _level(share(F.replace(text, F.lit("!"), F.lit(""))), (0.0005, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1)),
     )
 
 
