@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stackroom.plans import text_queries
+from stackroom.plans import record_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES}
+QUERIES: dict = {**record_queries.QUERIES, **text_queries.QUERIES}
+ORACLES: dict[str, str] = {**record_queries.ORACLES, **text_queries.ORACLES}
