@@ -241,6 +241,14 @@ def _score(stats: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most that many rows, by the hash of their id: about as many are left before they are sorted, so
+    tasks don't each send as many to the driver."""
+    share = min(1.0, 1.1 * most / max(1, rows.count()))
+    mark = F.xxhash64(id_col)
+    return rows.where(F.pmod(mark, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(mark, *COUNTS).limit(most)
+
+
 def fit_quality(
     stats: DataFrame,
     labels: DataFrame,
@@ -267,15 +275,14 @@ def fit_quality(
     passed = stats.where(~base_failed())
     rows = passed.join(known, id_col).select(id_col, "__label", *COUNTS)
     rows = materialize(rows, "labelled")
-    order = F.xxhash64(id_col)
-    good = rows.where("__label = 1").orderBy(order, *COUNTS).limit(max_train)
-    bad = rows.where("__label <> 1").orderBy(order, *COUNTS).limit(max(1, int(max_train * contamination)))
+    good = _sample(rows.where("__label = 1"), id_col, max_train)
+    bad = _sample(rows.where("__label <> 1"), id_col, max(1, int(max_train * contamination)))
     take = lambda df: np.array([[r[c] for c in COUNTS] for r in df.select(*COUNTS).collect()], np.int64).reshape(-1, len(COUNTS))
     a, b = take(good), take(bad)
     b = b[: max(1, int(len(a) * contamination))] if len(a) else b
     train = np.concatenate([a, b])
     if not len(train):
-        train = take(passed.orderBy(order, *COUNTS).limit(max_train))
+        train = take(_sample(passed, id_col, max_train))
         return QualityModel(grow_forest(features_of(train), trees, sample, seed), default_threshold)
     model = QualityModel(grow_forest(features_of(train), trees, sample, seed), default_threshold)
     histogram = (
