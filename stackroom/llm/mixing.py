@@ -12,7 +12,7 @@ domain and round, and that matrix.
 The classifier is naive Bayes over a lexicon and three document statistics. The lexicon
 has, for each domain, at most ``max_words`` words that its documents hold at least
 ``min_ratio`` times as often as labelled documents do on the whole (with ``shrink``
-pseudo-documents, so rare words don't count); that a text holds none of them counts too.
+pseudo-documents, so rare words don't count; by default one to ten, with the sample's size); that a text holds none of them counts too.
 It is fitted on at most about ``max_train`` labelled rows, picked by the hash of their
 id: a documented bound.
 
@@ -111,7 +111,7 @@ def fit_domains(
     max_train: int = 20_000,
     max_words: int = 16,
     min_ratio: float = 3.0,
-    shrink: float = 10.0,
+    shrink: float | None = None,
 ) -> DomainModel:
     """Fits the classifier. What is collected is bounded by max_words and the numbers of domains and levels."""
     import math
@@ -121,6 +121,8 @@ def fit_domains(
     k = len(domains)
     n_docs = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n_docs.values())
+    if shrink is None:
+        shrink = min(10.0, max(1.0, total / 400))
 
     share = [n_docs.get(d, 0) / max(1, total) for d in domains]
     held = [F.count_if(F.col("domain") == d).cast("double").alias(f"h{i}") for i, d in enumerate(domains)]

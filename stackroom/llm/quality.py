@@ -9,7 +9,7 @@ than half of the words in repeated 3-word windows) are rejected without the fore
 What is fitted: ``trees`` trees of ``sample`` rows each, drawn from the labelled rows
 with the smallest hashes (at most ``max_train`` of them; a documented bound). The
 threshold comes from a histogram of the scores of *all* labelled rows: the lowest one
-at which at most ``lost`` of the rows labelled good are rejected. Without labels the
+at which at most ``lost`` of the rows labelled good are rejected (or two of few rows). Without labels the
 forest is grown on documents of all kinds, with the threshold ``default_threshold``.
 
 Cases: null text has no words; a document without words has ratios of 0 and fails the
@@ -295,9 +295,10 @@ def fit_quality(
     total = sum(r["n"] for r in histogram)
     if not total:
         return model
-    above, threshold = 0, 1.0
+    # a handful of labels can't show a share of a few thousandths: two rows, or 1 %, may go there
+    allowed, above = max(lost * total, min(2, 0.01 * total)), 0
     for r in sorted(histogram, key=lambda r: -r["bin"]):
-        if above + r["n"] > lost * total:
+        if above + r["n"] > allowed:
             break
         above += r["n"]
     else:
