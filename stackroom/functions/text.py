@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,21 +66,30 @@ def guess_language(text: Column) -> Column:
 
     A tie goes to the language that scored first in the text, then to the order of the list.
     """
-    found = words(F.substring(text, 1, 20_000))
-    votes = [
-        F.struct(
-            F.size(F.filter(found, _is_in(marks))).alias("votes"),
-            (-F.array_position(F.transform(found, _is_in(marks)), True)).alias("first"),
-            F.lit(-i).alias("place"),
-            F.lit(code).alias("code"),
-        )
-        for i, (code, marks) in enumerate(lx.LANGUAGE_MARKERS.items())
-    ]
-    best = F.array_max(F.array(*votes))
-    total = reduce(lambda a, b: a + b, [v["votes"] for v in votes])
-    return F.when(
-        (F.size(found) >= 20) & (best["votes"] >= 5), F.struct(best["code"].alias("code"), (best["votes"] / total).alias("confidence"))
-    )
+
+    def judge(found: Column) -> Column:
+        votes = [
+            F.struct(
+                F.size(F.filter(found, _is_in(marks))).alias("votes"),
+                (-F.array_position(F.transform(found, _is_in(marks)), True)).alias("first"),
+                F.lit(-i).alias("place"),
+                F.lit(code).alias("code"),
+            )
+            for i, (code, marks) in enumerate(lx.LANGUAGE_MARKERS.items())
+        ]
+        return F.when(F.size(found) >= 20, F.array(*votes))
+
+    def decide(votes: Column) -> Column:
+        total = F.aggregate(votes, F.lit(0), lambda acc, v: acc + v["votes"])
+        best = F.array_max(votes)
+        return F.when(best["votes"] >= 5, F.struct(best["code"].alias("code"), (best["votes"] / total).alias("confidence")))
+
+    return once(once(words(F.substring(text, 1, 20_000)), judge), decide)
+
+
+def once(value: Column, then) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _is_in(marks: list[str]):
