@@ -61,7 +61,10 @@ kranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as records: titles are first words, facets follow from the id."""
-    docs = table(spark, sf_dir, "documents")
+    return as_records(table(spark, sf_dir, "documents"))
+
+
+def as_records(docs: DataFrame) -> DataFrame:
     n = F.col("doc_id")
     return docs.select(
         n.alias("record_id"),

@@ -179,10 +179,11 @@ def fnv1a_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ids.fnv1a(F.col("p_name")).alias("hash"))
 
 
-@query(f"SELECT doc_id, lower(to_hex({sql_fnv('source || chr(0) || substr(text, 1, 300)')})) AS signature FROM documents")
+@query(f"SELECT doc_id, lower(to_hex({sql_fnv('source || chr(0) || substr(text, 1, 6000)')})) AS signature FROM documents")
 def document_signature(spark, sf_dir):
+    """Signatures of what a model sees: the title, and as much of the body as its input has."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", ids.document_signature(F.col("source"), F.substring("text", 1, 300)).alias("signature"))
+    return docs.select("doc_id", ids.document_signature(F.col("source"), F.substring("text", 1, 6000)).alias("signature"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
