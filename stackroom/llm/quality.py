@@ -246,7 +246,7 @@ def _sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     tasks don't each send as many to the driver."""
     share = min(1.0, 1.1 * most / max(1, rows.count()))
     mark = F.xxhash64(id_col)
-    return rows.where(F.pmod(mark, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(mark, *COUNTS).limit(most)
+    return rows.where(F.pmod(mark, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(mark, *COUNTS).limit(most)
 
 
 def fit_quality(
