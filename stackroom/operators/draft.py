@@ -14,6 +14,7 @@ from stackroom.functions import identifiers as ids
 from stackroom.functions import lexicon as lx
 from stackroom.functions import text as tx
 from stackroom.operators.classify import classify
+from stackroom.shared import materialize
 from stackroom.sources import files as fl
 
 FV = "array<struct<value:string,source:string,confidence:double>>"
@@ -139,6 +140,9 @@ def draft(files: DataFrame, added_at: Column) -> DataFrame:
     pages = F.when(ex("page_count").isNotNull(), F.concat(F.lit("; "), ex("page_count").cast("string"), F.lit(" pages"))).otherwise(F.lit(""))
     df = df.withColumns({"type": value(F.element_at(types, F.col("media_type")), "rules", 0.99), "format": _pick((mime.isNotNull(), value(F.concat(mime, pages), "rules", 0.99)))})
 
+    # written once: classification reads it too, and files are not to be extracted again
+    df = materialize(df, "drafted")
+    name = F.coalesce(F.get("title", F.lit(0))["value"], F.col("file_name"))
     main = lambda c: F.coalesce(F.get(c, F.lit(0))["value"], F.lit(""))
     basis = df.select(
         "record_id", name.alias("title"), main("description").alias("description"), F.array_join(ex("subjects"), ". ").alias("subject"), "text", main("language").alias("language")
