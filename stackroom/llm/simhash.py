@@ -136,14 +136,19 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", max_bits: int = 2, den
 
 
 def group_fingerprints(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", max_bits: int = 2, dense: int = 256) -> DataFrame:
-    """(fp, label, component_id, winners, size) of each distinct fingerprint of rows.
+    """What group_linked gives for fingerprints within max_bits."""
+    return group_linked(rows, link_fingerprints(rows, fp_col, max_bits, dense), id_col, fp_col)
+
+
+def group_linked(rows: DataFrame, edges: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+    """(fp, label, component_id, winners, size) of each distinct fingerprint of rows, linked by edges (a, b).
 
     label is the least fingerprint of the component, component_id the least id in it
     (null if it has none), winners the number of rows with that id, size that of all
     rows. What a component's many fingerprints are joined to is written first, so that
     the join can be split or broadcast.
     """
-    labels = materialize(connected_components(link_fingerprints(rows, fp_col, max_bits, dense)), "labels")
+    labels = materialize(connected_components(edges), "labels")
     heads = rows.groupBy(F.col(fp_col).alias("fp"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     # an id that is there goes before nulls
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
@@ -177,19 +182,25 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: in
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, dense: int = 256
 ) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the least id stays.
+    """The rows of docs without near copies: of each component the row with the least id stays (see keep_least)."""
+    rows = materialize(_fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    groups = group_fingerprints(rows, "id", "fp", max_bits, dense)
+    return keep_least(docs, groups, lambda df, out: add_fingerprint(df, text_col, out, shingle_words), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, add, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of groups (as group_linked gives them) the row of docs with the least id.
 
     Where several rows have that id (repeated rows), one of them stays, by the hash of
-    its text. Fingerprints are computed again next to the texts, which is cheaper than
-    to keep a second copy of them. Rows without copies stay where they are if the table
-    of groups is small enough for Spark to broadcast.
+    its text. Fingerprints are computed again next to the texts, by add(docs, column), which
+    is cheaper than to keep a second copy of them. Rows without copies stay where they are if
+    the table of groups is small enough for Spark to broadcast.
     """
     columns = docs.columns
     fp, label, cid, winners = (fresh(columns, x) for x in ("__fp", "__label", "__component", "__winners"))
-    rows = materialize(_fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    groups = group_fingerprints(rows, "id", "fp", max_bits, dense).where("size > 1")
+    groups = groups.where("size > 1")
     many = materialize(groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid), F.col("winners").alias(winners)), "copies")
-    marked = add_fingerprint(docs, text_col, fp, shingle_words).join(many, fp, "left")
+    marked = add(docs, fp).join(many, fp, "left")
     kept = marked.where(F.col(label).isNull() | F.col(id_col).eqNullSafe(F.col(cid)))
     if not many.where(F.col(winners) > 1).limit(1).count():
         return kept.select(columns)
