@@ -87,11 +87,11 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality").isNotNull(), "poor")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_train: int, copy_chars: int = 40) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_train: int) -> DataFrame:
     """(text, domain) of labelled documents: about max_train of them, by the hash of their ids.
 
-    Copies would make all of their words look typical: of the sample's texts of a domain that
-    start with the same copy_chars characters, one counts, with its whole text.
+    Copies would make all of their words look typical: of the sample's equal texts of a domain
+    one counts. Texts that differ anywhere all count.
     """
     known = labels.select(F.col(id_col).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     known = known.groupBy("id").agg(F.max("domain").alias("domain"))
@@ -100,8 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, domain: Column, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample's ids are bounded by max_train
     rows = rows.join(F.broadcast(picked), "id").where("text IS NOT NULL")
-    start = F.substring("text", 1, copy_chars).alias("start")
-    return rows.groupBy("domain", start).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "domain")
+    whole = F.sha2(F.col("text").cast("binary"), 256).alias("whole")
+    return rows.groupBy("domain", whole).agg(F.first("text").alias("text")).select("text", "domain")
 
 
 def fit_domains(
