@@ -10,9 +10,9 @@ them steps fall short rather than overshoot. What the driver sees of the documen
 domain and round, and that matrix.
 
 The classifier is naive Bayes over a lexicon and three document statistics. The lexicon
-has, for each domain, at most ``max_words`` words that its documents hold at least
-``min_ratio`` times as often as labelled documents do on the whole (with ``shrink``
-pseudo-documents, so rare words don't count; by default one to ten, with the sample's size); that a text holds none of them counts too.
+has, for each domain, all words that its documents hold at least ``min_ratio`` times as
+often as labelled documents do on the whole (with ``shrink`` pseudo-documents, so words
+of few documents don't count; by default one to ten, with the sample's size); that a text holds none of them counts too.
 It is fitted on at most about ``max_train`` labelled rows, picked by the hash of their
 id: a documented bound.
 
@@ -112,11 +112,10 @@ def fit_domains(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_train: int = 20_000,
-    max_words: int = 16,
     min_ratio: float = 3.0,
     shrink: float | None = None,
 ) -> DomainModel:
-    """Fits the classifier. What is collected is bounded by max_words and the numbers of domains and levels."""
+    """Fits the classifier. What is collected is bounded by the sample's typical words and the numbers of domains and levels."""
     import math
 
     rows = labelled_sample(docs, labels, domain if domain is not None else domain_of(labels), id_col, text_col, max_train)
@@ -141,7 +140,7 @@ def fit_domains(
     lexicon: dict[str, list[float]] = {}
     for i, d in enumerate(domains):
         inside, outside = n_docs.get(d, 0) + 1.0, total - n_docs.get(d, 0) + 1.0
-        for r in words.where(F.col(f"r{i}") >= min_ratio).orderBy(F.desc(f"r{i}"), "word").limit(max_words).collect():
+        for r in words.where(F.col(f"r{i}") >= min_ratio).orderBy(F.desc(f"r{i}"), "word").collect():
             here, there = (r[f"h{i}"] + 0.5) / inside, (r["n"] - r[f"h{i}"] + 0.5) / outside
             absent = math.log((1 - min(here, 0.999)) / (1 - min(there, 0.999)))
             prior[i] += absent
