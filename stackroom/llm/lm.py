@@ -12,10 +12,11 @@ once and has at least ``window - stride`` ids before them as context.
 The data. A document trains if ``crc32(id as text) mod 10`` is not 0. Blocks of documents
 keep word numbers; their distinct words, with counts, meet in buckets (see
 ``wordblocks``), where each distinct word is counted over the whole corpus and cut into
-subwords once; counts and subwords go back to the blocks, where documents are scored.
-Weights are trained on windows of words that recur at a fixed rate in *every* training
-document (``rate``: one of so many), so what is gathered grows with the input; tasks
-train from the same start, and weights are averaged between rounds.
+subwords once; counts and subwords go back to the blocks, whose ids are written. Weights
+are trained in one pass over windows that cover every id of every training document, its
+end too; no window holds ids of two documents. Each round takes every ``rounds``-th
+window; tasks train from the same start, and weights are averaged between rounds. Then
+documents are scored.
 
 Besides the model's score each document gets a unigram base score over words:
 ``sum(log10((c + 0.1) / (N + 0.1 * (V + 1))))``.
@@ -28,7 +29,6 @@ ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,8 +61,6 @@ class LmConfig:
     train_batch: int = 64
     rounds: int = 3
     step: float = 0.01
-    sample_words: int = 16
-    rate: int = 64
     seed: int = 11
 
 
@@ -170,8 +168,8 @@ def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
     return (np.minimum(hit, 80.0) - np.log(z @ np.ones(cfg.classes, np.float32))).reshape(n, scored)
 
 
-def gradient(w: dict, rows, targets, cfg: LmConfig, mask):
-    """(mean loss, gradient vector) over windows whose every position is scored."""
+def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
+    """(mean loss, gradient vector) over windows; real: 1 where a position is scored, all if left out."""
     import numpy as np
 
     n, size = targets.shape
@@ -190,9 +188,10 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask):
     p = e / e.sum(-1, keepdims=True)
     t = targets.reshape(-1)
     at = np.arange(len(t))
-    loss = -float(np.mean(np.log(p[at, t] + 1e-30)))
+    share = np.full(len(t), 1 / len(t), p.dtype) if real is None else (real.reshape(-1) / max(1, real.sum())).astype(p.dtype)
+    loss = -float(np.log(p[at, t] + 1e-30) @ share)
     p[at, t] -= 1.0
-    p /= len(t)
+    p *= share[:, None]
     g = {"u": h.T @ p, "c": p.sum(0)}
     dh = p @ w["u"].T
     g["o"] = o.reshape(-1, d).T @ dh
@@ -204,34 +203,47 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask):
     g["q"], g["k"], g["v"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
     g["p"] = dx.reshape(n, size, d).sum(0)
-    ge = np.zeros_like(w["e"])
-    np.add.at(ge, rows.reshape(-1), dx)
-    g["e"] = ge
+    which = rows.reshape(-1)
+    g["e"] = np.stack([np.bincount(which, dx[:, j], len(w["e"])) for j in range(d)], 1)
     return loss, np.concatenate([g[name].reshape(-1) for name in shapes(cfg)]).astype(np.float32)
 
 
-def train(vector, vocabulary: Vocabulary, texts: list, cfg: LmConfig):
-    """(weights, windows): one pass of Adam over runs of ids."""
+def training_windows(vocabulary: Vocabulary, flat, sizes, cfg: LmConfig, turn: int):
+    """(rows, targets, real) of a round's windows: flat holds documents' ids, each with its end id.
+
+    Over all rounds each id is a target once. As in scoring, end ids stand before a document.
+    """
+    import numpy as np
+
+    lead = cfg.window - cfg.stride
+    per_doc = -(-(sizes + lead) // cfg.window)
+    doc = np.repeat(np.arange(len(sizes)), per_doc)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    mine = np.arange(turn, len(doc), cfg.rounds)
+    base, size = (np.cumsum(sizes) - sizes)[doc[mine], None], sizes[doc[mine], None]
+    pos = number[mine, None] * cfg.window - lead + np.arange(cfg.window)
+    real = (pos >= 0) & (pos < size)
+    targets = vocabulary.cls[flat[base + np.clip(pos, 0, size - 1)]]
+    rows = np.where(pos > 0, vocabulary.row[flat[base + np.clip(pos - 1, 0, size - 1)]], vocabulary.row[vocabulary.end])
+    return rows, targets, real
+
+
+def train(vector, parts, cfg: LmConfig):
+    """(weights, windows): one pass of Adam over parts of windows (rows, targets, real)."""
     import numpy as np
 
-    w = cfg.window
-    lists = [t for t in texts if len(t) > 1]
-    # runs are laid end to end, each after an end id, and cut into whole windows
-    flat = np.concatenate([np.concatenate(([vocabulary.end], t)) for t in lists]) if lists else np.zeros(0, np.int64)
-    count = (len(flat) - 1) // w
-    if count < 1:
-        return vector, 0
-    rows = vocabulary.row[flat[: count * w]].reshape(count, w)
-    targets = vocabulary.cls[flat[1 : count * w + 1]].reshape(count, w)
-    vector = vector.copy()
-    mask = causal_mask(w, w)
+    vector, step, count = vector.copy(), 0, 0
+    mask = causal_mask(cfg.window, cfg.window)
     m, v2 = np.zeros_like(vector), np.zeros_like(vector)
-    for step, lo in enumerate(range(0, count, cfg.train_batch), 1):
-        _, g = gradient(unflatten(vector, cfg), rows[lo : lo + cfg.train_batch], targets[lo : lo + cfg.train_batch], cfg, mask)
-        m = 0.9 * m + 0.1 * g
-        v2 = 0.99 * v2 + 0.01 * g * g
-        rate = cfg.step * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-        vector -= (rate * m / (np.sqrt(v2) + 1e-6)).astype(np.float32)
+    for rows, targets, real in parts:
+        count += len(rows)
+        for lo in range(0, len(rows), cfg.train_batch):
+            some, step = slice(lo, lo + cfg.train_batch), step + 1
+            _, g = gradient(unflatten(vector, cfg), rows[some], targets[some], cfg, mask, real[some])
+            m = 0.9 * m + 0.1 * g
+            v2 = 0.99 * v2 + 0.01 * g * g
+            rate = cfg.step * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+            vector -= (rate * m / (np.sqrt(v2) + 1e-6)).astype(np.float32)
     return vector, count
 
 
@@ -273,8 +285,8 @@ def train_part(id_column):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 10 != 0
 
 
-def _first_pass(docs: DataFrame, id_col: str, text_col: str, cfg: LmConfig) -> tuple[DataFrame, T.DataType]:
-    """The written table of blocks ('D'), packets of words with counts ('W') and sample windows ('S')."""
+def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, T.DataType]:
+    """The written table of blocks ('D'), and packets of words with counts ('W')."""
     spark = docs.sparkSession
     wide_rows(spark)
     buckets = wb.bucket_count(spark)
@@ -298,18 +310,11 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, cfg: LmConfig) -> t
         import numpy as np
         import pyarrow as pa
 
-        samples: list[bytes] = []
-
         def rows():
-            size = cfg.sample_words
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     for doc, trains, data in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns), strict=True):
                         words = data.lower().split()
-                        if trains:
-                            first = zlib.crc32(str(doc).encode()) // 10 % cfg.rate
-                            for at in range(first * size, len(words), cfg.rate * size):
-                                samples.append(b" ".join(words[at : at + size]))
                         words.append(END_WORD)
                         yield (doc, trains), words, len(data)
 
@@ -338,15 +343,30 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, cfg: LmConfig) -> t
                 cells.append((bucket, len(words).to_bytes(4, "little") + words + wb.pack_numbers(counts[some])))
             yield batch_of("W", block.name, cells)
             yield batch_of("D", block.name, [(-1, block.payload())], [d[0] for d in held.docs], trains.tolist())
-            if samples:
-                yield batch_of("S", block.name, [(-2, wb.pack_lists(samples))])
-                samples.clear()
 
     path = scratch(spark, "lm-blocks")
     source.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
     return spark.read.schema(schema).parquet(path), id_type
 
 
+def _pack_ids(sizes, known, base, subwords, flat) -> bytes:
+    parts = [wb.pack_numbers(sizes), wb.pack_numbers(known), base.astype("<f8").tobytes(), wb.pack_numbers(subwords), wb.pack_numbers(flat)]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _read_ids(payload: bytes) -> list:
+    """What _pack_ids packed: of a block's documents sizes, known words, base sums and subwords, and their ids."""
+    import numpy as np
+
+    at, out = 0, []
+    for k in range(5):
+        n = int.from_bytes(payload[at : at + 4], "little")
+        part = payload[at + 4 : at + 4 + n]
+        out.append(np.frombuffer(part, "<f8") if k == 2 else wb.unpack_numbers(part).astype(np.int64))
+        at += 4 + n
+    return out
+
+
 def _subwords(ranks, pattern):
     one = _encoder(ranks, pattern).encode_ordinary
     return lambda word: one(" " + word.decode())
@@ -412,40 +432,35 @@ def _sums(words: DataFrame) -> dict[int, int]:
     return {r["id"]: r["n"] for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
-def fit_lm(samples: DataFrame, vocabulary: Vocabulary, ranks, pattern: str, cfg: LmConfig):
-    """The model's weights after the rounds of training; samples has a column payload of packed windows."""
+def fit_lm(held: DataFrame, vocabulary: Vocabulary, cfg: LmConfig):
+    """The model's weights after the rounds of training; held has the columns trains and payload of blocks' ids."""
     import numpy as np
 
-    spark = samples.sparkSession
+    spark = held.sparkSession
     vector = initial(vocabulary.prior, cfg)
-    spread = materialize(samples.select("payload").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "lm-samples")
     shared = spark.sparkContext.broadcast(vocabulary)
-    for _ in range(cfg.rounds):
+    for turn in range(cfg.rounds):
         now = spark.sparkContext.broadcast(vector)
 
-        def run(batches: Iterator, now=now) -> Iterator:
+        def run(batches: Iterator, now=now, turn=turn) -> Iterator:
             import pyarrow as pa
 
-            cut, known = _subwords(ranks.value, pattern), {}
-            texts = []
-            for batch in batches:
-                for payload in batch.column(0).to_pylist():
-                    for text in wb.unpack_words(payload):
-                        ids: list[int] = []
-                        for word in text.split():
-                            got = known.get(word)
-                            if got is None:
-                                got = known[word] = cut(word)
-                            ids += got
-                        texts.append(ids)
-            after, windows = train(now.value, shared.value, texts, cfg)
+            def parts():
+                for batch in batches:
+                    for trains, payload in zip(batch.column(0), batch.column(1), strict=True):
+                        trains = np.array(trains.as_py(), bool)
+                        _, _, _, subwords, flat = _read_ids(payload.as_py())
+                        if trains.any():
+                            yield training_windows(shared.value, flat[np.repeat(trains, subwords)], subwords[trains], cfg, turn)
+
+            after, windows = train(now.value, parts(), cfg)
             if windows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(after))), pa.array(after.astype(np.float64) * windows), pa.array(np.full(len(after), windows))], names=["i", "x", "n"]
                 )
 
         # weights are averaged where they are: the driver gets one number for each of them
-        mean = spread.mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        mean = held.select("trains", "payload").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
         if not mean:
             break
         vector = vector.copy()
@@ -465,15 +480,13 @@ def score_texts(
     spark = docs.sparkSession
     vocabulary_ranks = spark.sparkContext.broadcast(ranks)
     end = max(ranks.values()) + 1
-    blocks, id_type = _first_pass(docs, id_col, text_col, cfg)
+    blocks, id_type = _first_pass(docs, id_col, text_col)
     words = _count_words(blocks, vocabulary_ranks, pattern, end)
     sums = _sums(words)
     tokens, kinds = sums.pop(-1, 0), sums.pop(-2, 0)
     counts = np.zeros(end + 1, np.int64)
     counts[list(sums)] = list(sums.values())
     vocabulary = build_vocabulary(counts, end, cfg)
-    vector = fit_lm(blocks.where("kind = 'S'"), vocabulary, vocabulary_ranks, pattern, cfg)
-    model = spark.sparkContext.broadcast((vector, vocabulary))
     floor = math.log10(tokens + SMOOTH * (kinds + 1))
     arrow_id = to_arrow_type(id_type)
     out = T.StructType(
@@ -512,9 +525,8 @@ def score_texts(
         logs, known = np.log10(count + SMOOTH), (count > 0).astype(np.int64)
         sizes = sizes.astype(np.int64)
         ends = np.cumsum(sizes)
-        weights, vocabulary = unflatten(model.value[0], cfg), model.value[1]
-        base, n_known, score, subwords = (np.zeros(len(sizes), k) for k in (float, np.int64, float, np.int64))
-        lo, at = 0, 0
+        base, n_known, subwords = (np.zeros(len(sizes), k) for k in (float, np.int64, np.int64))
+        lo, at, held = 0, 0, [np.zeros(0, "<u4")]
         while lo < len(sizes):  # about 200,000 words at a time
             hi = max(lo + 1, int(np.searchsorted(ends, at + 200_000, "right")))
             where = place[numbers[at : ends[hi - 1]]]
@@ -523,24 +535,41 @@ def score_texts(
             n_known[lo:hi] = np.add.reduceat(known[where], cuts)
             ids, some = wb.gather_lists(lengths, flat, where)
             subwords[lo:hi] = np.add.reduceat(some, cuts)
-            score[lo:hi] = score_documents(weights, vocabulary, ids.astype(np.int64), subwords[lo:hi], cfg)
+            held.append(ids)
             lo, at = hi, int(ends[hi - 1])
         docs_of = next(x for x in table.column("docs").to_pylist() if x is not None)
         trains = next(x for x in table.column("trains").to_pylist() if x is not None)
-        return pa.table(
-            [
-                pa.array(docs_of, arrow_id),
-                pa.array([not x for x in trains]),
-                pa.array(sizes),
-                pa.array(n_known),
-                pa.array(np.full(len(sizes), tokens)),
-                pa.array(base - sizes * floor),
-                pa.array(score / math.log(10.0)),
-                pa.array(subwords),
-            ],
-            names=out.names,
-        )
+        payload = _pack_ids(sizes, n_known, base, subwords, np.concatenate(held))
+        return pa.table([pa.array([docs_of], pa.list_(arrow_id)), pa.array([trains], pa.list_(pa.bool_())), pa.array([payload], pa.binary())], names=packed.names)
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        weights, vocabulary = unflatten(model.value[0], cfg), model.value[1]
+        for batch in batches:
+            for docs_of, trains, payload in zip(*batch.columns, strict=True):
+                sizes, n_known, base, subwords, flat = _read_ids(payload.as_py())
+                scores = score_documents(weights, vocabulary, flat, subwords, cfg)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        docs_of.values.cast(arrow_id),
+                        pa.array([not x for x in trains.as_py()]),
+                        pa.array(sizes),
+                        pa.array(n_known),
+                        pa.array(np.full(len(sizes), tokens)),
+                        pa.array(base - sizes * floor),
+                        pa.array(scores / math.log(10.0)),
+                        pa.array(subwords),
+                    ],
+                    names=out.names,
+                )
 
+    packed = T.StructType(
+        [T.StructField("docs", T.ArrayType(id_type)), T.StructField("trains", T.ArrayType(T.BooleanType())), T.StructField("payload", T.BinaryType())]
+    )
     back = words.where("bucket >= 0").withColumns({"docs": F.lit(None).cast(T.ArrayType(id_type)), "trains": F.lit(None).cast("array<boolean>")})
-    held = blocks.where("kind = 'D'").drop("kind")
-    return held.union(back).groupBy("block").applyInArrow(run, out)
+    whole = blocks.where("kind = 'D'").drop("kind").union(back)
+    held = materialize(whole.groupBy("block").applyInArrow(run, packed), "lm-ids")
+    vector = fit_lm(held, vocabulary, cfg)
+    model = spark.sparkContext.broadcast((vector, vocabulary))
+    return held.mapInArrow(score, out)
