@@ -15,8 +15,9 @@ keep word numbers; their distinct words, with counts, meet in buckets (see
 subwords once; counts and subwords go back to the blocks, whose ids are written. Weights
 are trained in one pass over windows that cover every id of every training document, its
 end too; no window holds ids of two documents. Each round takes every ``rounds``-th
-window; tasks train from the same start, and weights are averaged between rounds. Then
-documents are scored.
+document of a block; blocks train from the same start, and weights are averaged between
+rounds, so that the fit doesn't depend on how blocks are dealt to tasks (but for the
+rounding of sums). Then documents are scored.
 
 Besides the model's score each document gets a unigram base score over words:
 ``sum(log10((c + 0.1) / (N + 0.1 * (V + 1))))``.
@@ -29,7 +30,9 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,9 +61,9 @@ class LmConfig:
     single: int = 32
     own: int = 512
     batch: int = 512
-    train_batch: int = 64
-    rounds: int = 3
-    step: float = 0.01
+    train_batch: int = 128
+    rounds: int = 4
+    step: float = 0.02
     seed: int = 11
 
 
@@ -145,27 +148,25 @@ def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
 
     n, scored = targets.shape
     d = cfg.dims
-    x = w["e"][rows]
+    x = w["e"].take(rows, 0)
     x += w["p"]
-    last = np.ascontiguousarray(x[:, cfg.window - scored :, :])
-    q = (last.reshape(-1, d) @ (w["q"] * np.float32(d**-0.5))).reshape(n, scored, d)
-    k = (x.reshape(-1, d) @ w["k"]).reshape(n, cfg.window, d)
-    v = np.empty((n, cfg.window, d + 1), np.float32)
-    v[..., :d] = (x.reshape(-1, d) @ w["v"]).reshape(n, cfg.window, d)
-    v[..., d] = 1.0
+    last = np.ascontiguousarray(x[:, cfg.window - scored :, :]).reshape(-1, d)
+    q = (last @ (w["q"] * np.float32(d**-0.5))).reshape(n, scored, d)
+    k, v = ((x.reshape(-1, d) @ w[m]).reshape(n, cfg.window, d) for m in "kv")
     s = q @ k.transpose(0, 2, 1)
-    np.minimum(s, 60.0, out=s)
+    np.clip(s, -60.0, 60.0, out=s)
     np.exp(s, out=s)
     s *= mask
-    a = s @ v
-    a = a[..., :d] / (a[..., d:] + np.float32(1e-30))
-    h = last.reshape(-1, d) + a.reshape(-1, d) @ w["o"]
+    a = (s @ v).reshape(-1, d)
+    a /= (s.reshape(-1, cfg.window) @ np.ones(cfg.window, s.dtype))[:, None]
+    h = last + a @ w["o"]
     z = h @ w["u"]
-    z += w["c"]
-    hit = z[np.arange(n * scored), targets.reshape(-1)]
+    t = targets.reshape(-1)
+    hit = z[np.arange(n * scored), t]
     np.minimum(z, 80.0, out=z)
     np.exp(z, out=z)
-    return (np.minimum(hit, 80.0) - np.log(z @ np.ones(cfg.classes, np.float32))).reshape(n, scored)
+    # the constants are factors of what is summed
+    return (np.minimum(hit, 80.0) + w["c"].take(t) - np.log(z @ np.exp(w["c"]))).reshape(n, scored)
 
 
 def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
@@ -174,58 +175,88 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
 
     n, size = targets.shape
     d, scale = cfg.dims, np.float32(cfg.dims**-0.5)
-    x = w["e"][rows] + w["p"]
+    which, t = rows.reshape(-1), targets.reshape(-1)
+    x = w["e"].take(which, 0).reshape(n, size, d)
+    x += w["p"]
     flat = x.reshape(-1, d)
-    q, k, v = ((flat @ w[m]).reshape(n, size, d) for m in "qkv")
-    s = np.minimum(q @ k.transpose(0, 2, 1) * scale, 60.0)
-    s = np.exp(s) * mask
-    a = s / s.sum(-1, keepdims=True)
-    o = a @ v
-    h = flat + o.reshape(-1, d) @ w["o"]
-    z = h @ w["u"] + w["c"]
-    z -= z.max(-1, keepdims=True)
-    e = np.exp(z)
-    p = e / e.sum(-1, keepdims=True)
-    t = targets.reshape(-1)
-    at = np.arange(len(t))
-    share = np.full(len(t), 1 / len(t), p.dtype) if real is None else (real.reshape(-1) / max(1, real.sum())).astype(p.dtype)
-    loss = -float(np.log(p[at, t] + 1e-30) @ share)
-    p[at, t] -= 1.0
-    p *= share[:, None]
-    g = {"u": h.T @ p, "c": p.sum(0)}
+    kind = flat.dtype
+    # queries, keys and values side by side: one product instead of three, here and on the way back
+    wide = np.concatenate((w["q"] * scale, w["k"], w["v"]), 1)
+    q, k, v = np.split((flat @ wide).reshape(n, size, 3 * d), 3, axis=2)
+    # sums over a row are products with ones, and what is not needed again is written over
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -60.0, 60.0, out=a)
+    np.exp(a, out=a)
+    a *= mask
+    a /= (a.reshape(-1, size) @ np.ones(size, kind)).reshape(n, size, 1)
+    o = (a @ v).reshape(-1, d)
+    h = flat + o @ w["o"]
+    p = h @ w["u"]
+    p += w["c"]
+    np.clip(p, -80.0, 80.0, out=p)
+    np.exp(p, out=p)
+    at, total = np.arange(len(t)), p @ np.ones(cfg.classes, kind)
+    share = np.full(len(t), 1 / len(t), kind) if real is None else (real.reshape(-1) / max(1, real.sum())).astype(kind)
+    loss = -float(np.log(p[at, t] / total + 1e-30) @ share)
+    p *= (share / total)[:, None]
+    p[at, t] -= share
+    g = {"u": h.T @ p, "c": np.ones(len(t), kind) @ p}
     dh = p @ w["u"].T
-    g["o"] = o.reshape(-1, d).T @ dh
-    do = (dh @ w["o"].T).reshape(n, size, d)
-    da = do @ v.transpose(0, 2, 1)
-    dv = (a.transpose(0, 2, 1) @ do).reshape(-1, d)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-    g["q"], g["k"], g["v"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    g["o"] = o.T @ dh
+    do = dh @ w["o"].T
+    ds = do.reshape(n, size, d) @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", do, o).reshape(n, size, 1)
+    ds *= a
+    back = np.empty((n, size, 3 * d), kind)
+    np.matmul(ds, k, out=back[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=back[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), do.reshape(n, size, d), out=back[..., 2 * d :])
+    back = back.reshape(-1, 3 * d)
+    g["q"], g["k"], g["v"] = np.split(flat.T @ back, 3, axis=1)
+    g["q"] = g["q"] * scale
+    dx = dh
+    dx += back @ wide.T
     g["p"] = dx.reshape(n, size, d).sum(0)
-    which = rows.reshape(-1)
-    g["e"] = np.stack([np.bincount(which, dx[:, j], len(w["e"])) for j in range(d)], 1)
+    # rows of one id are brought together and summed
+    order = np.argsort(which.astype(np.uint16) if len(w["e"]) <= 1 << 16 else which, kind="stable")
+    some = which.take(order)
+    cuts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+    g["e"] = np.zeros((len(w["e"]), d), kind)
+    g["e"][some[cuts]] = np.add.reduceat(dx.take(order, 0), cuts)
     return loss, np.concatenate([g[name].reshape(-1) for name in shapes(cfg)]).astype(np.float32)
 
 
-def training_windows(vocabulary: Vocabulary, flat, sizes, cfg: LmConfig, turn: int):
-    """(rows, targets, real) of a round's windows: flat holds documents' ids, each with its end id.
+def lay_out(vocabulary: Vocabulary, flat, sizes, lead: int, room):
+    """(rows, ids, slots, starts): documents' ids in slots, room of them for each, of which the first lead stay empty.
 
-    Over all rounds each id is a target once. As in scoring, end ids stand before a document.
+    rows has the embedding row of what stands before a slot (before and in empty ones: the end id's),
+    ids what is in it, slots where each of flat is, starts each document's first slot.
+    """
+    import numpy as np
+
+    starts = np.cumsum(room) - room
+    slots = np.arange(len(flat)) + np.repeat(starts + lead - (np.cumsum(sizes) - sizes), sizes)
+    total = int(room.sum())
+    rows = np.full(total + 1, vocabulary.row[vocabulary.end], np.int32)
+    # a document's last id is the end id, so that what follows is as it is before any document
+    rows[slots + 1] = vocabulary.row.take(flat)
+    ids = np.full(total, vocabulary.end, np.int32)
+    ids[slots] = flat
+    return rows[:-1], ids, slots, starts
+
+
+def training_windows(vocabulary: Vocabulary, flat, sizes, cfg: LmConfig):
+    """(rows, targets, real) of windows: flat holds documents' ids, each with its end id.
+
+    Each id is a target once. As in scoring, end ids stand before a document.
     """
     import numpy as np
 
     lead = cfg.window - cfg.stride
-    per_doc = -(-(sizes + lead) // cfg.window)
-    doc = np.repeat(np.arange(len(sizes)), per_doc)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    mine = np.arange(turn, len(doc), cfg.rounds)
-    base, size = (np.cumsum(sizes) - sizes)[doc[mine], None], sizes[doc[mine], None]
-    pos = number[mine, None] * cfg.window - lead + np.arange(cfg.window)
-    real = (pos >= 0) & (pos < size)
-    targets = vocabulary.cls[flat[base + np.clip(pos, 0, size - 1)]]
-    rows = np.where(pos > 0, vocabulary.row[flat[base + np.clip(pos - 1, 0, size - 1)]], vocabulary.row[vocabulary.end])
-    return rows, targets, real
+    rows, ids, slots, _ = lay_out(vocabulary, flat, sizes, lead, -(-(sizes + lead) // cfg.window) * cfg.window)
+    real = np.zeros(len(ids), bool)
+    real[slots] = True
+    return tuple(x.reshape(-1, cfg.window) for x in (rows, vocabulary.cls.take(ids), real))
 
 
 def train(vector, parts, cfg: LmConfig):
@@ -251,30 +282,23 @@ def score_documents(w: dict, vocabulary: Vocabulary, flat, sizes, cfg: LmConfig)
     """Natural log probability of each document: flat holds all documents' ids, each with its end id."""
     import numpy as np
 
-    n = len(sizes)
-    out = np.zeros(n)
-    lead = cfg.window - cfg.stride + 1
-    per_doc = -(-sizes // cfg.stride)
+    out = np.zeros(len(sizes))
+    lead, per_doc = cfg.window - cfg.stride, -(-sizes // cfg.stride)
+    rows, ids, slots, starts = lay_out(vocabulary, flat, sizes, lead, lead + per_doc * cfg.stride)
+    classes = vocabulary.cls.take(ids)
+    # what an id adds besides its class; empty slots add nothing
+    share, real = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
+    share[slots], real[slots] = vocabulary.share.take(flat), 1.0
     mask = causal_mask(cfg.window, cfg.stride)
-    starts = np.cumsum(sizes) - sizes
-    inside, ahead = np.arange(cfg.stride), np.arange(cfg.window)
-    cuts = np.cumsum(per_doc)
-    doc_of = np.repeat(np.arange(n), per_doc)
-    number = np.arange(len(doc_of)) - np.repeat(cuts - per_doc, per_doc)
-    row, cls, share = vocabulary.row, vocabulary.cls, vocabulary.share
-    end_row = row[vocabulary.end]
+    doc_of = np.repeat(np.arange(len(sizes)), per_doc)
+    first = starts[doc_of] + (np.arange(len(doc_of)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * cfg.stride
+    ahead = np.arange(cfg.window)
     for lo in range(0, len(doc_of), cfg.batch):
-        docs, at = doc_of[lo : lo + cfg.batch], number[lo : lo + cfg.batch] * cfg.stride
-        base, size = starts[docs], sizes[docs]
-        # the ids that this window scores; beyond the document's end nothing counts
-        pos = at[:, None] + inside
-        real = pos < size[:, None]
-        ids = flat[base[:, None] + np.minimum(pos, size[:, None] - 1)]
-        # and the ids up to each of them, from `lead` before the first; end ids stand before a document
-        ctx = at[:, None] - lead + ahead
-        rows = np.where(ctx >= 0, row[flat[base[:, None] + np.clip(ctx, 0, size[:, None] - 1)]], end_row)
-        got = class_log_probs(w, rows, cls[ids], cfg, mask) + share[ids]
-        got *= real
+        docs, seen = doc_of[lo : lo + cfg.batch], first[lo : lo + cfg.batch, None] + ahead
+        scored = seen[:, lead:]
+        got = class_log_probs(w, rows.take(seen), classes.take(scored), cfg, mask)
+        got *= real.take(scored)
+        got += share.take(scored)
         part = np.bincount(docs - docs[0], got.sum(1, dtype=np.float64))
         out[docs[0] : docs[0] + len(part)] += part
     return out
@@ -349,24 +373,31 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return spark.read.schema(schema).parquet(path), id_type
 
 
-def _pack_ids(sizes, known, base, subwords, flat) -> bytes:
-    parts = [wb.pack_numbers(sizes), wb.pack_numbers(known), base.astype("<f8").tobytes(), wb.pack_numbers(subwords), wb.pack_numbers(flat)]
+def _pack(parts) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
-def _read_ids(payload: bytes) -> list:
-    """What _pack_ids packed: of a block's documents sizes, known words, base sums and subwords, and their ids."""
-    import numpy as np
-
+def _unpack(data: bytes) -> list[bytes]:
     at, out = 0, []
-    for k in range(5):
-        n = int.from_bytes(payload[at : at + 4], "little")
-        part = payload[at + 4 : at + 4 + n]
-        out.append(np.frombuffer(part, "<f8") if k == 2 else wb.unpack_numbers(part).astype(np.int64))
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
     return out
 
 
+def _pack_ids(subwords, flat) -> bytes:
+    return _pack([wb.pack_numbers(subwords), wb.pack_numbers(flat)])
+
+
+def _read_ids(payload: bytes):
+    """(subwords, ids) of a part of a block: documents' numbers of subwords and their ids one after the other."""
+    import numpy as np
+
+    subwords, flat = map(wb.unpack_numbers, _unpack(payload))
+    return subwords.astype(np.int64), flat.astype(np.int32)
+
+
 def _subwords(ranks, pattern):
     one = _encoder(ranks, pattern).encode_ordinary
     return lambda word: one(" " + word.decode())
@@ -380,35 +411,33 @@ def _count_words(blocks: DataFrame, vocabulary, pattern: str, end: int) -> DataF
         import numpy as np
         import pyarrow as pa
 
-        total: Counter = Counter()
-        packets = []
+        number: defaultdict = defaultdict(itertools.count().__next__)
+        packets, seen = [], []
         for block, payload in zip(table.column(0).to_pylist(), table.column(2).to_pylist(), strict=True):
             n = int.from_bytes(payload[:4], "little")
             words = wb.unpack_words(payload[4 : 4 + n])
-            packets.append((block, words))
-            for word, count in zip(words, wb.unpack_numbers(payload[4 + n :]).tolist(), strict=True):
-                total[word] += count
+            packets.append((block, np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
+            seen.append(wb.unpack_numbers(payload[4 + n :]))
+        # counts can pass 32 bits in a large corpus: whole numbers here, two halves in packets
+        total = np.zeros(len(number), np.int64)
+        for (_, mine), counts in zip(packets, seen, strict=True):
+            total[mine] += counts
         cut = _subwords(vocabulary.value, pattern)
-        ids = {word: np.array([end] if word == END_WORD else cut(word), "<u4") for word in total}
+        lengths, ids = np.empty(len(number), np.int64), array("I")
+        for i, word in enumerate(number):
+            some = [end] if word == END_WORD else cut(word)
+            lengths[i] = len(some)
+            ids.extend(some)
+        flat = np.frombuffer(ids, np.uint32)
         bucket = table.column(1)[0].as_py()
         out = []
-        for block, words in packets:
-            # counts can pass 32 bits in a large corpus: two halves
-            counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-            lists = [ids[w] for w in words]
-            parts = [
-                wb.pack_numbers(counts & 0xFFFFFFFF),
-                wb.pack_numbers(counts >> 32),
-                wb.pack_numbers(np.fromiter(map(len, lists), np.int64, len(lists))),
-                wb.pack_numbers(np.concatenate(lists)),
-            ]
-            out.append((block, bucket, b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
-        used = Counter()
-        for word, count in total.items():
-            if count:
-                for i in ids[word].tolist():
-                    used[i] += count
-        sums = np.array([[-1, sum(total.values())], [-2, sum(1 for c in total.values() if c)], *used.items()], np.int64)
+        for block, mine in packets:
+            counts, (some, sizes) = total[mine], wb.gather_lists(lengths, flat, mine)
+            out.append((block, bucket, _pack(map(wb.pack_numbers, (counts & 0xFFFFFFFF, counts >> 32, sizes, some)))))
+        used = np.bincount(flat, np.repeat(total, lengths).astype(np.float64)) if len(flat) else np.zeros(0)
+        there = np.flatnonzero(used)
+        pairs = np.stack([there, used[there].astype(np.int64)], 1)
+        sums = np.concatenate((np.array([[-1, total.sum()], [-2, np.count_nonzero(total)]]), pairs)).astype(np.int64)
         out.append(("", -3, sums.tobytes()))
         return pa.table({"block": [r[0] for r in out], "bucket": pa.array([r[1] for r in out], pa.int32()), "payload": [r[2] for r in out]})
 
@@ -433,7 +462,10 @@ def _sums(words: DataFrame) -> dict[int, int]:
 
 
 def fit_lm(held: DataFrame, vocabulary: Vocabulary, cfg: LmConfig):
-    """The model's weights after the rounds of training; held has the columns trains and payload of blocks' ids."""
+    """The model's weights after the rounds of training; held has blocks' columns trains and ids0, ids1 and so on.
+
+    A round trains on one of the latter: of a block's documents those whose number has its remainder.
+    """
     import numpy as np
 
     spark = held.sparkSession
@@ -445,26 +477,24 @@ def fit_lm(held: DataFrame, vocabulary: Vocabulary, cfg: LmConfig):
         def run(batches: Iterator, now=now, turn=turn) -> Iterator:
             import pyarrow as pa
 
-            def parts():
-                for batch in batches:
-                    for trains, payload in zip(batch.column(0), batch.column(1), strict=True):
-                        trains = np.array(trains.as_py(), bool)
-                        _, _, _, subwords, flat = _read_ids(payload.as_py())
-                        if trains.any():
-                            yield training_windows(shared.value, flat[np.repeat(trains, subwords)], subwords[trains], cfg, turn)
-
-            after, windows = train(now.value, parts(), cfg)
-            if windows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(after))), pa.array(after.astype(np.float64) * windows), pa.array(np.full(len(after), windows))], names=["i", "x", "n"]
-                )
+            total, count = np.zeros(len(now.value)), 0
+            for batch in batches:
+                for trains, payload in zip(batch.column(0), batch.column(1), strict=True):
+                    trains = np.array(trains.as_py(), bool)[turn :: cfg.rounds]
+                    if trains.any():
+                        subwords, flat = _read_ids(payload.as_py())
+                        some = training_windows(shared.value, flat[np.repeat(trains, subwords)], subwords[trains], cfg)
+                        after, windows = train(now.value, [some], cfg)
+                        total += after.astype(np.float64) * windows
+                        count += windows
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), count))], names=["i", "x", "n"])
 
         # weights are averaged where they are: the driver gets one number for each of them
-        mean = held.select("trains", "payload").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-        if not mean:
-            break
-        vector = vector.copy()
-        vector[[r["i"] for r in mean]] = [r["x"] for r in mean]
+        mean = held.select("trains", f"ids{turn}").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        if mean:
+            vector = vector.copy()
+            vector[[r["i"] for r in mean]] = [r["x"] for r in mean]
     return vector
 
 
@@ -511,11 +541,8 @@ def score_texts(
         sizes, numbers, dealt = wb.read_payload(rows[0][1])
         got: list[list] = [[np.zeros(0, "<u4")] for _ in range(4)]
         for _, payload in rows[1:]:
-            at = 0
-            for part in got:
-                n = int.from_bytes(payload[at : at + 4], "little")
-                part.append(wb.unpack_numbers(payload[at + 4 : at + 4 + n]))
-                at += 4 + n
+            for part, data in zip(got, _unpack(payload), strict=True):
+                part.append(wb.unpack_numbers(data))
         low, high, lengths, flat = (np.concatenate(x) for x in got)
         if len(low) != len(dealt):
             raise ValueError("a block's words and their packets differ")
@@ -539,17 +566,26 @@ def score_texts(
             lo, at = hi, int(ends[hi - 1])
         docs_of = next(x for x in table.column("docs").to_pylist() if x is not None)
         trains = next(x for x in table.column("trains").to_pylist() if x is not None)
-        payload = _pack_ids(sizes, n_known, base, subwords, np.concatenate(held))
-        return pa.table([pa.array([docs_of], pa.list_(arrow_id)), pa.array([trains], pa.list_(pa.bool_())), pa.array([payload], pa.binary())], names=packed.names)
+        facts = _pack([wb.pack_numbers(sizes), wb.pack_numbers(n_known), base.astype("<f8").tobytes()])
+        whole, turn_of = np.concatenate(held), np.arange(len(sizes)) % cfg.rounds
+        turn_of_id = np.repeat(turn_of, subwords)
+        ids = [_pack_ids(subwords[turn_of == r], whole[turn_of_id == r]) for r in range(cfg.rounds)]
+        cells = [pa.array([x], pa.binary()) for x in (facts, *ids)]
+        return pa.table([pa.array([docs_of], pa.list_(arrow_id)), pa.array([trains], pa.list_(pa.bool_())), *cells], names=packed.names)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         weights, vocabulary = unflatten(model.value[0], cfg), model.value[1]
         for batch in batches:
-            for docs_of, trains, payload in zip(*batch.columns, strict=True):
-                sizes, n_known, base, subwords, flat = _read_ids(payload.as_py())
-                scores = score_documents(weights, vocabulary, flat, subwords, cfg)
+            for docs_of, trains, facts, *ids in zip(*batch.columns, strict=True):
+                sizes, n_known, base = _unpack(facts.as_py())
+                sizes, n_known, base = wb.unpack_numbers(sizes).astype(np.int64), wb.unpack_numbers(n_known).astype(np.int64), np.frombuffer(base, "<f8")
+                scores, subwords = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
+                for r, payload in enumerate(ids):
+                    lengths, flat = _read_ids(payload.as_py())
+                    subwords[r :: cfg.rounds] = lengths
+                    scores[r :: cfg.rounds] = score_documents(weights, vocabulary, flat, lengths, cfg)
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs_of.values.cast(arrow_id),
@@ -564,9 +600,8 @@ def score_texts(
                     names=out.names,
                 )
 
-    packed = T.StructType(
-        [T.StructField("docs", T.ArrayType(id_type)), T.StructField("trains", T.ArrayType(T.BooleanType())), T.StructField("payload", T.BinaryType())]
-    )
+    cells = [T.StructField(name, T.BinaryType()) for name in ("facts", *[f"ids{r}" for r in range(cfg.rounds)])]
+    packed = T.StructType([T.StructField("docs", T.ArrayType(id_type)), T.StructField("trains", T.ArrayType(T.BooleanType())), *cells])
     back = words.where("bucket >= 0").withColumns({"docs": F.lit(None).cast(T.ArrayType(id_type)), "trains": F.lit(None).cast("array<boolean>")})
     whole = blocks.where("kind = 'D'").drop("kind").union(back)
     held = materialize(whole.groupBy("block").applyInArrow(run, packed), "lm-ids")

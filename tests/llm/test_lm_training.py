@@ -1,8 +1,16 @@
 """What op8's weights learn from: every id of every training document, once."""
 
+import functools
+import itertools
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+import public_tokenizers as P
+import tiktoken
 
-from stackroom.llm import lm
+from stackroom.llm import bpe, lm
 
 
 def test_each_id_is_a_target_once_and_windows_hold_one_document():
@@ -16,10 +24,31 @@ def test_each_id_is_a_target_once_and_windows_hold_one_document():
         doc = flat[at : at + n].tolist()
         want += list(zip([39, *doc[:-1]], doc, strict=True))
         at += n
-    got = []
-    for turn in range(cfg.rounds):
-        rows, targets, real = lm.training_windows(vocabulary, flat, sizes, cfg, turn)
-        got += list(zip(rows[real].tolist(), targets[real].tolist(), strict=True))
-        follows = rows[:, 1:] == targets[:, :-1]
-        assert follows[real[:, 1:] & real[:, :-1]].all()
+    rows, targets, real = lm.training_windows(vocabulary, flat, sizes, cfg)
+    got = list(zip(rows[real].tolist(), targets[real].tolist(), strict=True))
+    follows = rows[:, 1:] == targets[:, :-1]
+    assert follows[real[:, 1:] & real[:, :-1]].all()
     assert sorted(got) == sorted(want)
+
+
+def test_the_model_beats_a_unigram_of_its_subwords_and_ignores_partition_counts(spark):
+    ranks, end = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), None
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    cut = functools.cache(lambda word: one(" " + word.decode()))
+    ids = {r["doc_id"]: [*itertools.chain.from_iterable(map(cut, r["text"].encode().lower().split())), end] for r in docs.collect()}
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 10 == 0}
+    counts = Counter(x for i, some in ids.items() if i not in held for x in some)
+    total, kinds = sum(counts.values()), max(ranks.values()) + 2
+    unigram = sum(math.log10((counts[x] + lm.SMOOTH) / (total + lm.SMOOTH * kinds)) for i in held for x in ids[i])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in (before, "3"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append({r["doc_id"]: r for r in lm.score_texts(docs, ranks, P.PATTERN).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    first, again = got
+    assert all(len(ids[i]) == r["n_subwords"] for i, r in first.items())
+    assert all(abs(r["score"] - again[i]["score"]) < 1e-3 * abs(r["score"]) + 1e-3 for i, r in first.items())
+    gain = (sum(first[i]["score"] for i in held) - unigram) / sum(len(ids[i]) for i in held)
+    assert gain > 0.2, gain
