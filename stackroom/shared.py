@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="stackroom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -55,6 +58,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def deal_files(files: DataFrame, manifest: DataFrame, each: int = 256 << 20) -> DataFrame:
+    """files, a row for each file of a written manifest (with their ``bytes``), dealt to tasks: about `each`
+    bytes to a task, but a few tasks for each core if there are files enough."""
+    n, size = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(n, max(4 * cores, (size or 0) // each))))
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A table of constants as a plan whose small size the planner knows (so it may broadcast it)."""
     import json
@@ -72,6 +83,11 @@ def fresh(columns: list[str], base: str) -> str:
     return base
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks in it too."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def wide_rows(spark: SparkSession) -> None:
     """Smaller Arrow batches, for rows that hold whole texts: what Python workers take at a time is
     bounded by bytes, and by a number of rows that suits them. Settings that were changed stay."""
