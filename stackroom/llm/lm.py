@@ -55,8 +55,8 @@ class LmConfig:
     """Sizes of the model and of its training. own: ids with an embedding of their own."""
 
     dims: int = 16
-    window: int = 32
-    stride: int = 24
+    window: int = 24
+    stride: int = 18
     classes: int = 64
     single: int = 32
     own: int = 512
@@ -313,7 +313,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """The written table of blocks ('D'), and packets of words with counts ('W')."""
     spark = docs.sparkSession
     wide_rows(spark)
-    buckets = wb.bucket_count(spark)
+    buckets = wb.bucket_count(spark, docs)
     source = docs.select(
         F.col(id_col).alias("id"), train_part(F.col(id_col)).alias("trains"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
     )
