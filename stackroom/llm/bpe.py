@@ -8,9 +8,10 @@ put together again by position. A frequent word is one entry of each block, so n
 is hot, and texts themselves are not shuffled.
 
 Decoding joins ids to the table of token bytes: a vocabulary file, whose size bounds
-what is broadcast.
+what is broadcast. The join is by whole Arrow columns, next to the ids: a row for each
+id and a shuffle to bring a document's rows together again would move many times the text.
 
-Cases: null text counts as empty and has no ids; repeated rows are encoded as often as
+Cases: a text of more than LONG_TEXT characters is cut by an iterator, with the same result; null text counts as empty and has no ids; repeated rows are encoded as often as
 they come; an id that the table lacks makes the decoded value null; other columns are
 ignored by the encoder and kept by the decoder.
 """
@@ -18,6 +19,7 @@ ignored by the encoder and kept by the decoder.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stackroom.llm import wordblocks as wb
-from stackroom.shared import wide_rows
+from stackroom.shared import materialize, open_store, scratch, wide_rows
 
 #: A text that is longer is cut by an iterator, so its pre-tokens are never all in memory.
 LONG_TEXT = 4_000_000
@@ -67,15 +69,23 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
 
 
 def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of each row: ids are little-endian unsigned 32-bit numbers in one binary value."""
+    """(id, ids) of each row: ids are little-endian unsigned 32-bit numbers in one binary value.
+
+    Texts are cut once. The tasks that cut them write their blocks' positions into a file each, and a
+    table of packets; as that table names the files, and holds only what tasks that succeeded have said,
+    it makes no difference should a task run twice or see its rows in another order.
+    """
     spark = docs.sparkSession
     wide_rows(spark)
     vocabulary = spark.sparkContext.broadcast(ranks)
-    buckets = wb.bucket_count(spark)
+    buckets = wb.bucket_count(spark, docs)
+    folder = scratch(spark, "positions")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType
     batch_type = to_arrow_type(id_type)
     packet = "block string, bucket int, payload binary"
+    head = [T.StructField("docs", T.ArrayType(id_type)), T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("size", T.LongType())]
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType()), *head])
 
     def rows_of(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -84,13 +94,36 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     yield doc, pre_tokens(text, pattern), len(text)
 
-    def words(batches: Iterator) -> Iterator:
+    def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for block in wb.blocks_of(rows_of(batches), buckets):
-            rows = [(b, wb.pack_lists([block.words[i] for i in some])) for b, some in block.packets()]
-            if rows:
-                yield pa.RecordBatch.from_pydict({"block": [block.name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": [r[1] for r in rows]})
+        name, start, out = f"{uuid.uuid4().hex}.blocks", 0, None
+        try:
+            for block in wb.blocks_of(rows_of(batches), buckets):
+                if out is None:
+                    fs, root = open_store(folder)
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                payload = block.payload()
+                out.write(payload)
+                cells = [(-1, None), *[(b, wb.pack_lists([block.words[i] for i in some])) for b, some in block.packets()]]
+                rest = [None] * (len(cells) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block.name] * len(cells), pa.string()),
+                        pa.array([c[0] for c in cells], pa.int32()),
+                        pa.array([c[1] for c in cells], pa.binary()),
+                        pa.array([block.block.docs, *rest], pa.list_(batch_type)),
+                        pa.array([f"{folder}/{name}", *rest], pa.string()),
+                        pa.array([start, *rest], pa.int64()),
+                        pa.array([len(payload), *rest], pa.int64()),
+                    ],
+                    names=schema.names,
+                )
+                start += len(payload)
+        finally:
+            if out is not None:
+                out.close()
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
@@ -113,44 +146,29 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 out.append(len(sizes).to_bytes(4, "little") + sizes + wb.pack_numbers(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
-    block_schema = T.StructType(
-        [
-            T.StructField("block", T.StringType()),
-            T.StructField("bucket", T.IntegerType()),
-            T.StructField("payload", T.BinaryType()),
-            T.StructField("docs", T.ArrayType(id_type)),
-        ]
-    )
-
-    def positions(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for block in wb.blocks_of(rows_of(batches), buckets):
-            ids = pa.array([block.block.docs], pa.list_(batch_type))
-            yield pa.RecordBatch.from_arrays([pa.array([block.name]), pa.array([-1], pa.int32()), pa.array([block.payload()], pa.binary()), ids], names=block_schema.names)
-
     out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.BinaryType())])
 
     def assemble(table):
         import numpy as np
         import pyarrow as pa
 
-        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda r: r[0])
-        if not rows or rows[0][0] != -1 or sum(r[0] == -1 for r in rows) != 1:
-            raise ValueError("packets without their block: the scan was planned in two ways")
-        sizes, numbers, dealt = wb.read_payload(rows[0][1])
+        table = table.take(np.argsort(table.column("bucket").to_numpy(), kind="stable"))
+        packets = table.column("payload").slice(1).to_pylist()
+        docs_of, path, start, size = (table.column(f.name)[0].as_py() for f in head)
+        fs, where = open_store(path)
+        with fs.open_input_file(where) as file:
+            sizes, numbers, dealt = wb.read_payload(file.read_at(size, start))
         got_sizes, got_ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
-        for _, payload in rows[1:]:
+        for payload in packets:
             n = int.from_bytes(payload[:4], "little")
             got_sizes.append(wb.unpack_numbers(payload[4 : 4 + n]))
             got_ids.append(wb.unpack_numbers(payload[4 + n :]))
         packed, flat = np.concatenate(got_sizes), np.concatenate(got_ids)
         if len(packed) != len(dealt):
-            raise ValueError("a block's words and their packets differ: the scan was planned in two ways")
+            raise ValueError("a block's words and their packets differ")
         place = np.empty(len(dealt), np.int64)
         place[wb.packet_order(dealt)] = np.arange(len(dealt))
         ends = np.cumsum(sizes, dtype=np.int64)
-        docs_of = next(x for x in table.column("docs").to_pylist() if x is not None)
         cells, lo, at = [], 0, 0
         while lo < len(ends):  # about PART words at a time: not all of a block's ids at once
             hi = max(lo + 1, int(np.searchsorted(ends, at + PART, "right")))
@@ -161,31 +179,58 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
             lo, at = hi, int(ends[hi - 1])
         return pa.table({id_col: pa.array(docs_of, batch_type), "ids": pa.chunked_array(cells, pa.binary())})
 
-    dealt = source.mapInArrow(words, packet).repartition("bucket").sortWithinPartitions("bucket")
-    back = dealt.mapInArrow(encode, packet).withColumn("docs", F.lit(None).cast(T.ArrayType(id_type)))
-    held = source.mapInArrow(positions, block_schema)
-    return held.union(back).groupBy("block").applyInArrow(assemble, out_schema)
+    blocks = materialize(source.mapInArrow(cut, schema), "packets")
+    dealt = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(encode, packet).withColumns({f.name: F.lit(None).cast(f.dataType) for f in head})
+    return blocks.where("bucket < 0").union(back).groupBy("block").applyInArrow(assemble, out_schema)
 
 
-def decode_bpe(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded with the bytes of its ids; a column named out is replaced."""
-    table = encoded.sparkSession.sparkContext.broadcast(ranks)
+def token_table(spark, ranks: dict[bytes, int]) -> DataFrame:
+    """The token-byte table (id, token); it is as large as a vocabulary file."""
+    rows = [(i, token) for token, i in ranks.items()]
+    return spark.createDataFrame(rows, "id long, token binary")
+
+
+def decode_bpe(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out: str = "decoded", most: int = 1 << 22) -> DataFrame:
+    """encoded joined to the token-byte table (id, token) by each of its ids: the ids' bytes, one after the other.
+
+    The join takes whole Arrow columns: every id of a batch picks its row of the table, which every
+    task has. A table of more than `most` rows is refused, so what is broadcast is bounded. A column
+    named out is replaced.
+    """
+    import numpy as np
+
+    held = tokens.select(F.col("id").cast("long"), F.col("token").cast("binary")).limit(most + 1).toArrow()
+    known = held.column(0).to_numpy()
+    if len(known) > most or len(known) and not 0 <= known.min() <= known.max() < 16 * most:
+        raise ValueError("the token-byte table is no vocabulary")
+    place = np.full(int(known.max(initial=0)) + 2, -1, np.int32)
+    place[known] = np.arange(len(known))
+    table = encoded.sparkSession.sparkContext.broadcast((place, held.column(1).to_pylist()))
     source = encoded.drop(out)
     at = source.columns.index(ids_col)
     schema = T.StructType([*source.schema, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        tokens = {i: token for token, i in table.value.items()}
+        place, token = table.value[0], pa.array(table.value[1], pa.binary())
         for batch in batches:
-            made = []
-            for ids in batch.column(at).to_pylist():
-                try:
-                    made.append(None if ids is None else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())))
-                except KeyError:
-                    made.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
+            cells = batch.column(at).to_pylist()
+            sizes = np.fromiter((len(x or b"") // 4 for x in cells), np.int64, len(cells))
+            ids = np.frombuffer(b"".join(x or b"" for x in cells), "<u4")
+            row = place.take(np.minimum(ids, len(place) - 1))
+            lost = row < 0
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            bad = np.diff(np.concatenate(([0], np.cumsum(lost)))[upto]) > 0
+            bad |= np.fromiter((x is None for x in cells), bool, len(cells))
+            # the ids that picked a row, in order: their tokens' bytes are one buffer, cut where documents end
+            joined = token.take(pa.array(row[~lost] if lost.any() else row))
+            there = np.concatenate(([0], np.cumsum(~lost)))[upto]
+            ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+            data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
+            valid = pa.py_buffer(np.packbits(~bad, bitorder="little"))
+            made = pa.Array.from_buffers(pa.binary(), len(cells), [valid, pa.py_buffer(np.ascontiguousarray(ends[there])), data])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
     return source.mapInArrow(run, schema)

@@ -26,9 +26,11 @@ from itertools import count
 BLOCK_CHARS = 6_000_000
 
 
-def bucket_count(spark) -> int:
-    """Buckets follow the session's shuffle partitions, as these follow the data."""
-    return max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark, docs=None, each: int = 64 << 20) -> int:
+    """Some buckets for each of the session's shuffle partitions, and one at least for `each` bytes that Spark
+    thinks docs has: with their number, not their size, grows what all words of the corpus take."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if docs is not None else 0
+    return min(1 << 20, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // each))
 
 
 def _squeeze(data: bytes) -> bytes:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -85,8 +86,27 @@ def test_url_verdicts_against_brute_force(spark):
 
 
 def test_rule_tokens_are_whole():
-    assert urls.rule_tokens("||example.com/en/7") == ["com", "en", "example"]
-    assert urls.rule_tokens("pills") == [""] and urls.rule_tokens("/a*b/") == [""] and urls.rule_tokens("/ab/*") == ["ab"]
+    assert urls.rule_keys("||example.com/en/7") == ["=com", "=en", "=example"]
+    assert urls.rule_keys("pills") == [""] and urls.rule_keys("/a*b/") == ["$b", "^a"] and urls.rule_keys("/ab/*") == ["=ab"]
+    assert urls.rule_keys("||casino*.") == ["^casino"]
+
+
+def test_the_index_loses_no_rule(spark):
+    """Random rules and URLs: what the index fetches decides as all rules do."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abA1", k=rng.randint(1, 3)))
+    glue = ("/", ".", "-", "*", "^", "", "_")
+    rules = [urls.Rule(rng.choice(("", "|", "||")) + "".join(word() + rng.choice(glue) for _ in range(rng.randint(1, 3))) + rng.choice(("", "|")), rng.choice(("allow", "block")), rng.randint(0, 2)) for _ in range(60)]
+    links = [f"http://{word()}.{word()}/{word()}{rng.choice('/.-_')}{word()}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(links)), "page_id long, url string")
+    plain = [(r, re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), urls.rule_regex(r.pattern)).replace(r"\z", r"\Z"))) for r in rules]
+    for row in urls.judge_urls(df, rules).collect():
+        target = row["host"] + row["path"]
+        fits = [(r.tier, -len(r.pattern), r.verdict, r.pattern) for r, p in plain if p.search(target)]
+        assert (row["pattern"], row["verdict"]) == ((min(fits)[3], min(fits)[2]) if fits else (None, "allow"))
+    assert {r["verdict"] for r in urls.judge_urls(df, []).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.judge_urls(df.withColumnRenamed("page_id", "host"), rules, "host")
 
 
 def test_chat_reads_back_everything(spark):
@@ -107,7 +127,11 @@ def test_elias_fano_select():
     for n, top in ((0, 0), (1, 0), (1, 10**9), (5, 5), (2000, 3_000_000), (3000, 40)):
         v = sorted(rng.randint(0, top) for _ in range(n))
         ef = tokenfile.EliasFano.from_bytes(tokenfile.EliasFano.encode(v).to_bytes())
-        assert ef.all().tolist() == v and [ef.select(i) for i in range(n)] == v
+        assert ef.run(0, n).tolist() == v and [ef.select(i) for i in range(n)] == v
+        for _ in range(20):
+            lo = rng.randint(0, n)
+            hi = rng.randint(lo, n)
+            assert ef.run(lo, hi).tolist() == v[lo:hi]
     assert tokenfile.EliasFano.encode(range(0, 4_000_000, 400)).nbytes < 10_000 * 2
     with pytest.raises(IndexError):
         ef.select(3000)
@@ -136,15 +160,28 @@ def test_byte_bpe_is_tiktoken(spark):
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = docs(spark)
-    rows = bpe.decode_bpe(bpe.encode_bpe(df, ranks, P.PATTERN), ranks).collect()
+    tokens = bpe.token_table(spark, ranks)
+    rows = bpe.decode_bpe(bpe.encode_bpe(df, ranks, P.PATTERN), tokens).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
     assert len(rows) == len(TRICKY) + 1
     for r in rows:
         assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(texts[r["doc_id"]])
         assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
     assert bpe.encode_bpe(df.limit(0), ranks, P.PATTERN).count() == 0
-    odd = spark.createDataFrame([(bytearray(b"\xff\xff\xff\x00"),), (None,)], "ids binary")
-    assert [r["decoded"] for r in bpe.decode_bpe(odd, ranks).collect()] == [None, None]
+    # ids that the table lacks, no ids, and a table with gaps
+    odd = spark.createDataFrame([(bytearray(b"\xff\xff\xff\x00"),), (None,), (bytearray(b""),), (bytearray(b"\x07\0\0\0\x02\0\0\0"),)], "ids binary").coalesce(1)
+    few = spark.createDataFrame([(7, bytearray(b"seven")), (2, bytearray(b"")), (9, bytearray(b"x"))], "id long, token binary")
+    assert [r["decoded"] for r in bpe.decode_bpe(odd, few).collect()] == [None, None, b"", b"seven"]
+    assert [r["decoded"] for r in bpe.decode_bpe(odd, few.limit(0)).collect()] == [None, None, b"", None]
+
+
+def test_byte_bpe_of_rows_in_no_fixed_order(spark):
+    """Rows that come from a shuffle are cut once, so a scan in another order can't part words from their blocks."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    df = spark.createDataFrame([(i, f"word{i % 97} and text {i}" * (i % 5)) for i in range(3000)], "doc_id long, text string")
+    df = df.orderBy(F.rand()).repartition(7).withColumn("ids", F.lit("clash"))
+    rows = bpe.decode_bpe(bpe.encode_bpe(df, ranks, P.PATTERN), bpe.token_table(spark, ranks)).collect()
+    assert {(r["doc_id"], bytes(r["decoded"]).decode()) for r in rows} == {(i, f"word{i % 97} and text {i}" * (i % 5)) for i in range(3000)}
 
 
 def test_warc_round_trip(spark):
