@@ -11,14 +11,16 @@ n values up to u into ``l = floor(log2(u / n))`` low bits, kept verbatim, and a
 part, kept as n ones and at most ``u >> l`` zeros in a bit vector: about 2 + l bits a
 document, where a table of offsets takes 64. A select structure holds the position of
 every 256th one as a 32-bit number; ``select`` starts there and counts bits within a
-few words.
+few words. Reading goes through it: a batch of documents takes the bits between two
+selects, so that offsets of 64 bits exist for the batch at hand alone.
 
 ``write_token_files`` range-partitions documents by id, tokenises within the sorted
 partitions and writes a shard for each; ``read_token_files`` reads the shards back.
 
 Cases: null text counts as empty and gives the end id alone; documents with equal ids
 are ordered by the hash of their text, null ids come first; an empty table writes no
-shard, or shards without documents; other columns are ignored. A task that is run again
+shard, or shards without documents; other columns are ignored; a text of more than TEXT_BLOCK
+characters is cut at blanks, and a worker forgets words beyond CACHE_WORDS, both with the same ids. A task that is run again
 writes a file of another name, and only files of the written manifest count.
 """
 
@@ -39,12 +41,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import materialize, open_store, scratch, wide_rows
+from stackroom.shared import deal_files, materialize, open_store, scratch, wide_rows
 
 MAGIC = b"STKIDS01"
 FOOT = struct.Struct("<5Q8s")
 #: Every so many ones have their position kept.
 SAMPLE = 256
+#: Documents and ids that are read at a time.
+BATCH_DOCS, BATCH_IDS = 512, 1 << 21
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 400_000
 #: Characters of a text that are split into words at a time.
@@ -102,10 +106,8 @@ class EliasFano:
         value = int.from_bytes(self.low[lo:hi].tobytes(), "little") >> (first & 7)
         return value & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """Value i."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
+    def _one(self, i: int) -> int:
+        """Where the high bits have the one of value i: from a kept position on, word by word."""
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = at >> 3
         word = int(self.high[byte]) >> (at & 7) << (at & 7)
@@ -115,20 +117,30 @@ class EliasFano:
             word = int(self.high[byte])
         for _ in range(left):
             word &= word - 1
-        one = (byte << 3) + (word & -word).bit_length() - 1
-        return (one - i) << self.low_bits | (self._low(i) if self.low_bits else 0)
+        return (byte << 3) + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """Value i."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return (self._one(i) - i) << self.low_bits | (self._low(i) if self.low_bits else 0)
 
-    def all(self):
-        """The whole sequence as an int64 array."""
+    def run(self, lo: int, hi: int):
+        """Values lo to hi - 1 as an int64 array: only their own bits are read, between two selects."""
         import numpy as np
 
-        if not self.n:
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (ones - np.arange(self.n)) << self.low_bits
+        a, b = self._one(lo), self._one(hi - 1)
+        bits = np.unpackbits(self.high[a >> 3 : (b >> 3) + 1], bitorder="little")
+        ones = np.flatnonzero(bits[a & 7 : b - (a >> 3 << 3) + 1]) + a
+        value = (ones - np.arange(lo, hi)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            value += bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            first, last = lo * self.low_bits, hi * self.low_bits
+            bits = np.unpackbits(self.low[first >> 3 : (last + 7) >> 3], bitorder="little")[first & 7 :][: last - first]
+            value += bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return value
 
     @property
@@ -138,37 +150,55 @@ class EliasFano:
 
 @dataclass
 class TokenShard:
-    """A shard file in memory or mapped: documents by number, without a table of offsets."""
+    """An open shard file: documents by number, without a table of offsets. Ids are read when they are asked for."""
 
-    ids: object
+    file: object
+    width: int
     ends: EliasFano
     names: object
 
     @classmethod
-    def parse(cls, data) -> TokenShard:
-        import numpy as np
+    def open(cls, file) -> TokenShard:
+        """file has size() and read_at(bytes, offset), as pyarrow's files have."""
         import pyarrow as pa
 
-        view = memoryview(data)
-        width, n, docs, a, b, magic = FOOT.unpack_from(view, len(view) - FOOT.size)
-        if magic != MAGIC or bytes(view[: len(MAGIC)]) != MAGIC:
+        size = file.size()
+        width, n, docs, a, b, magic = FOOT.unpack(file.read_at(FOOT.size, size - FOOT.size))
+        if magic != MAGIC or file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError("not a token-id shard")
-        at = len(MAGIC)
-        ids = np.frombuffer(view, f"<u{width}", n, at)
-        at += n * width
-        ends = EliasFano.from_bytes(view[at : at + a])
-        with pa.ipc.open_stream(pa.py_buffer(view[at + a : at + a + b])) as stream:
+        at = len(MAGIC) + n * width
+        ends = EliasFano.from_bytes(file.read_at(a, at))
+        with pa.ipc.open_stream(pa.py_buffer(file.read_at(b, at + a))) as stream:
             names = stream.read_all().column(0)
         if len(ends) != docs:
             raise ValueError("the boundaries don't match the footer")
-        return cls(ids, ends, names)
+        return cls(file, width, ends, names)
+
+    def ids(self, a: int, b: int):
+        """Ids a to b - 1 of the concatenated array."""
+        import numpy as np
+
+        return np.frombuffer(self.file.read_at((b - a) * self.width, len(MAGIC) + a * self.width), f"<u{self.width}")
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
     def doc(self, i: int):
-        a, b = self.span(i)
-        return self.ids[a:b]
+        return self.ids(*self.span(i))
+
+    def batches(self, docs: int, ids: int) -> Iterator[tuple]:
+        """(first document, starts, ends, ids) of the shard's documents, some at a time: as many as hold
+        about that many ids, found by selects, and not more than docs."""
+        import numpy as np
+
+        lo, start = 0, 0
+        while lo < len(self.ends):
+            hi = min(len(self.ends), lo + docs)
+            while hi - lo > 1 and self.ends.select(hi - 1) - start > ids:
+                hi = lo + (hi - lo) // 2
+            ends = self.ends.run(lo, hi)
+            yield lo, np.concatenate(([start], ends[:-1])), ends, self.ids(start, int(ends[-1]))
+            lo, start = hi, int(ends[-1])
 
 
 def write_shard(out, docs: Iterable[tuple[list, list[bytes]]], width: int, name_type) -> tuple[int, int, int]:
@@ -386,15 +416,11 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", id_type: T.Dat
             for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, where = open_store(path)
                 with fs.open_input_file(where) as file:
-                    shard = TokenShard.parse(file.read_buffer())
-                ends = shard.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                for lo in range(0, len(ends), 512):
-                    a, b = starts[lo : lo + 512], ends[lo : lo + 512]
-                    ids = shard.ids[a[0] : b[-1]].astype("<u4")
-                    offsets = np.append(a - a[0], b[-1] - a[0]).astype(np.int32) * 4
-                    cells = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                    names = shard.names.slice(lo, 512).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([names, pa.array(base + a), pa.array(b - a), cells], names=schema.names)
-
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, schema)
+                    shard = TokenShard.open(file)
+                    for first, a, b, ids in shard.batches(BATCH_DOCS, BATCH_IDS):
+                        offsets = np.append(a - a[0], b[-1] - a[0]).astype(np.int32) * 4
+                        cells = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+                        names = shard.names.slice(first, len(a)).combine_chunks()
+                        yield pa.RecordBatch.from_arrays([names, pa.array(base + a), pa.array(b - a), cells], names=schema.names)
+
+    return deal_files(placed, manifest).mapInArrow(run, schema)

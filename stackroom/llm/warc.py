@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import materialize, open_store, scratch, wide_rows
+from stackroom.shared import deal_files, materialize, open_store, scratch, wide_rows
 
 #: Payload bytes after which a new archive is begun.
 ARCHIVE_BYTES = 64 << 20
@@ -177,11 +177,6 @@ def _manifest_batch(pa, rows: list[dict]):
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
 
-def _spread(manifest: DataFrame) -> DataFrame:
-    """A row of the manifest for each task, or a few."""
-    return manifest.repartition(max(1, manifest.count()))
-
-
 def normalise(manifest: DataFrame, folder: str | None = None) -> DataFrame:
     """Rewrites the archives of a manifest with one gzip member for each record and a sidecar index."""
     folder = folder or scratch(manifest.sparkSession, "warc-members")
@@ -209,7 +204,7 @@ def normalise(manifest: DataFrame, folder: str | None = None) -> DataFrame:
                 done = row | {"path": f"{folder}/{name}", "index": f"{folder}/{index}", "records": len(lines), "bytes": at}
                 yield _manifest_batch(pa, [done])
 
-    return materialize(_spread(manifest.select("part", "number", "path", "index", "records", "bytes")).mapInArrow(run, _MANIFEST), "warc-manifest")
+    return materialize(deal_files(manifest.select("part", "number", "path", "index", "records", "bytes"), manifest).mapInArrow(run, _MANIFEST), "warc-manifest")
 
 
 def read_member(file, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -263,7 +258,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return _spread(manifest.select("path", "index")).mapInArrow(run, READ_SCHEMA)
+    return deal_files(manifest.select("path", "index"), manifest).mapInArrow(run, READ_SCHEMA)
 
 
 def _read_row(headers: dict[str, str], block: bytes, page) -> dict:
