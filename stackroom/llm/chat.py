@@ -59,6 +59,8 @@ def format_examples(
     target is the 0-based number of the trainable turn; the example of what follows the
     last reply has the number of turns there, and nulls for its loss span.
     """
+    if conv_col.lower() in ("target", "formatted", "loss_start", "loss_end"):
+        raise ValueError(f"the id column has a result column's name: {conv_col}")
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col), F.col(turn_col).alias("__turn"), role.alias("__role"), text.alias("__text"))
     rows = rows.withColumns(

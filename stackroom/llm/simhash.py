@@ -18,7 +18,9 @@ Cases: A-Z are lower-cased, words are runs of anything but blank and U+0009-000D
 fewer words than a shingle: the whole sequence is one; a null or wordless text has
 the fingerprint 0 and links like any other; rows with a null id take part, but an id
 that a component is named by is never null if it has any; repeated rows are members
-like others; other columns are ignored.
+like others; other columns are ignored. ``dense`` chooses between two plans with the same
+result: what pairs cost grows with the square of a key's fingerprints, what grouping costs
+is 2,016 rows for each.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackroom.llm.components import connected_components
-from stackroom.shared import fresh, materialize, wide_rows
+from stackroom.shared import fresh, materialize, named, wide_rows
 
 SEED = 42
 #: Shingles that are hashed at a time.
@@ -92,11 +94,23 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _shared(variants: DataFrame) -> DataFrame:
+    """Those of variants (slot, key, fp) whose key others share, with the number n and the least of all that do.
+
+    Counts are aggregated and joined back: a window would need all rows of a key in one task, where a
+    join to a written table can be split.
+    """
+    counts = variants.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1")
+    return variants.join(materialize(counts, "shared-keys"), ["slot", "key"])
+
+
 def link_fingerprints(fps: DataFrame, fp_col: str = "fp", max_bits: int = 2, dense: int = 256) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints within max_bits, 0 to 3, into their components."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits is 0 to 3")
-    nodes = fps.select(F.col(fp_col).alias("fp")).distinct()
+    # a fingerprint becomes 64 rows, so few large partitions of fingerprints would be too few
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = fps.select(F.col(fp_col).alias("fp")).distinct().repartition(parts)
     if not max_bits:
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     slots = [(s, w, bit) for s, w in _segments(max_bits) for bit in range(w)]
@@ -106,8 +120,7 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", max_bits: int = 2, den
     variants = nodes.select("fp", F.explode(table).alias("v")).select(
         F.col("v.slot").alias("slot"), F.col("fp").bitwiseAND(F.col("v.mask")).alias("key"), "fp"
     )
-    shared = variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot", "key"))).where("n > 1")
-    shared = materialize(shared, "variants")
+    shared = materialize(_shared(variants), "variants")
 
     bits = F.array(*[F.lit(_signed(1 << (s + bit))) for s, w, bit in slots])
     whole = F.array(*[F.lit(_signed(((1 << w) - 1) << s)) for s, w, bit in slots])
@@ -130,8 +143,7 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", max_bits: int = 2, den
         text = json.dumps(sets)
         held = crowd.select("fp", F.posexplode(F.from_json(F.lit(text), "array<bigint>")).alias("slot", "mask"))
         held = held.select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        least = F.min("fp").over(Window.partitionBy("slot", "key"))
-        pairs = pairs.union(held.select(least.alias("a"), F.col("fp").alias("b")).where("a < b"))
+        pairs = pairs.union(_shared(held).select(F.col("least").alias("a"), F.col("fp").alias("b")).where("a < b"))
     return pairs.distinct()
 
 
@@ -169,7 +181,9 @@ def group_linked(rows: DataFrame, edges: DataFrame, id_col: str = "doc_id", fp_c
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, dense: int = 256
 ) -> DataFrame:
-    """(id, fp, component_id) of each row of docs; the id column keeps its name."""
+    """(id, fp, component_id) of each row of docs; the id column keeps its name, which is not one of the other two."""
+    if id_col.lower() in ("fp", "component_id"):
+        raise ValueError(f"the id column has a result column's name: {id_col}")
     rows = materialize(_fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     groups = group_fingerprints(rows, "id", "fp", max_bits, dense)
     return rows.join(groups.select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -201,7 +215,7 @@ def keep_least(docs: DataFrame, groups: DataFrame, add, id_col: str = "doc_id",
     groups = groups.where("size > 1")
     many = materialize(groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid), F.col("winners").alias(winners)), "copies")
     marked = add(docs, fp).join(many, fp, "left")
-    kept = marked.where(F.col(label).isNull() | F.col(id_col).eqNullSafe(F.col(cid)))
+    kept, columns = marked.where(F.col(label).isNull() | F.col(id_col).eqNullSafe(F.col(cid))), [named(c) for c in columns]
     if not many.where(F.col(winners) > 1).limit(1).count():
         return kept.select(columns)
     tied, rank = F.coalesce(F.col(winners) > 1, F.lit(False)), fresh(columns, "__rank")
