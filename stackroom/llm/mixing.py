@@ -99,7 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, domain: Column, id_col:
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample's ids are bounded by max_train
-    rows = rows.join(F.broadcast(picked), "id").where("text IS NOT NULL")
+    rows = rows.join(F.broadcast(picked), "id").withColumn("text", F.coalesce("text", F.lit("")))
     whole = F.sha2(F.col("text").cast("binary"), 256).alias("whole")
     return rows.groupBy("domain", whole).agg(F.first("text").alias("text")).select("text", "domain")
 
@@ -215,43 +215,52 @@ def fit_rates(
     damping: float = 0.02,
     rounds: int = 12,
     tolerance: float = 1e-4,
-) -> list[tuple[float, ...]]:
-    """The gradient steps that lead from rates of 1 to the targets.
+) -> tuple[list[tuple[float, ...]], float]:
+    """The gradient steps that lead from rates of 1 to the targets, and the gap that they leave.
+
+    The gap is the largest distance of a domain's expected tokens from its target, as a share of the
+    budget. It isn't 0 where no rates of 0 and above meet the targets: each document whose posteriors
+    are not sure brings some tokens to a domain whose target is 0.
 
     table should be a written table of tokens and posteriors: each round sums it once.
     budget is the number of expected tokens in all; left out, it is what the domain of the
     largest target needs to keep all of its tokens, times slack. A target of more than
     max_epochs times a domain's tokens is lowered to that. damping, as a share of all tokens,
-    is added to the metric's diagonal: a domain with next to no tokens changes rates slowly.
-    Stops when each domain is within tolerance of the budget.
+    is added to the metric's diagonal: a domain with next to no tokens changes rates slowly, and
+    documents that hold a little of it keep theirs.
+    Stops when each domain is within tolerance of the budget, or after that many rounds.
     """
     k = len(domains)
     p = [F.get(posteriors, F.lit(i)) for i in range(k)]
-    mass = [F.sum(F.col(tokens) * x).alias(f"s{i}") for i, x in enumerate(p)]
+
+    def mass(r: Column) -> list[Column]:
+        return [F.sum(F.col(tokens) * r * x).alias(f"s{i}") for i, x in enumerate(p)]
+
     gram = [F.sum(F.col(tokens) * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    first = [x or 0.0 for x in table.agg(*mass, *gram).first()]
+    first = [x or 0.0 for x in table.agg(*mass(F.lit(1.0)), *gram).first()]
     start, metric = first[:k], [first[k + i * k : k + i * k + k] for i in range(k)]
+    for i in range(k):
+        metric[i][i] += damping * sum(start)
     weight = [max(0.0, targets.get(d, 0.0)) for d in domains]
     met = [w if s > 0 else 0.0 for w, s in zip(weight, start, strict=True)]
     whole = sum(met)
     if not whole:
-        return []
+        return [], 0.0
     if budget is None:
         main = max(range(k), key=lambda i: met[i])
         budget = slack * start[main] * whole / met[main]
     goal = [min(budget * w / whole, max_epochs * s) for w, s in zip(met, start, strict=True)]
-    for i in range(k):
-        metric[i][i] += damping * sum(start)
+    far = lambda now: max(abs(a - g) for a, g in zip(now, goal, strict=True)) / budget
     steps: list[tuple[float, ...]] = []
-    now = start
-    for _ in range(rounds):
-        rest = [a - g for a, g in zip(now, goal, strict=True)]
-        if max(map(abs, rest)) <= tolerance * budget:
-            break
-        steps.append(_solve(metric, rest))
-        r = rate(F.col(posteriors), steps)
-        now = [x or 0.0 for x in table.agg(*[F.sum(F.col(tokens) * r * x).alias(f"s{i}") for i, x in enumerate(p)]).first()]
-    return steps
+    now, best, gap = start, 0, far(start)
+    while len(steps) < rounds and gap > tolerance:
+        steps.append(_solve(metric, [a - g for a, g in zip(now, goal, strict=True)]))
+        r = F.col("r")
+        now = [x or 0.0 for x in table.select(tokens, posteriors, rate(F.col(posteriors), steps).alias("r")).agg(*mass(r)).first()]
+        if far(now) < gap:
+            best, gap = len(steps), far(now)
+    # with the last steps, where they went too far, the rates would be further away
+    return steps[:best], gap
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> tuple[float, ...]:
@@ -281,7 +290,7 @@ def mix(
     docs = docs.drop("n_tokens", "posteriors", "rate", "copies")
     model = fit_domains(docs, labels, id_col=id_col, text_col=text_col)
     scored = add_posteriors(docs, model, text_col)
-    steps = fit_rates(materialize(scored.select("n_tokens", "posteriors"), "posteriors"), targets, **fit)
+    steps, _ = fit_rates(materialize(scored.select("n_tokens", "posteriors"), "posteriors"), targets, **fit)
     return with_rates(scored, steps, id_col)
 
 

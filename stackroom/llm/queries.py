@@ -107,7 +107,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """What op6 and the pipeline's last stage return."""
     ranks = bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
     encoded = bpe.encode_bpe(docs, ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode_bpe(encoded, ranks)
+    decoded = bpe.decode_bpe(encoded, bpe.token_table(docs.sparkSession, ranks))
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -121,9 +121,10 @@ def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     model = mixing.fit_domains(docs, labels)
     table = materialize(mixing.add_posteriors(docs, model).select("doc_id", "n_tokens", "posteriors"), "posteriors")
-    got = mixing.with_rates(table, mixing.fit_rates(table))
+    steps, gap = mixing.fit_rates(table)
+    got = mixing.with_rates(table, steps)
     shares = [F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
-    return got.select("doc_id", "n_tokens", *shares, "rate", "copies")
+    return got.select("doc_id", "n_tokens", *shares, "rate", "copies", F.lit(gap).alias("target_gap"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

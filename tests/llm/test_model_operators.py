@@ -94,7 +94,7 @@ def test_projected_steps_are_those_of_numpy(spark):
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posteriors array<double>")
     targets = {"good": 0.7, "poor": 0.3, "toxic": 0.0}
-    steps = mixing.fit_rates(df, targets, rounds=30)
+    steps, gap = mixing.fit_rates(df, targets, rounds=30)
     r = np.ones(300)
     for step in steps:
         r = np.maximum(0, r - p @ np.array(step))
