@@ -211,14 +211,14 @@ def keep_least(docs: DataFrame, groups: DataFrame, add, id_col: str = "doc_id",
     the table of groups is small enough for Spark to broadcast.
     """
     columns = docs.columns
-    fp, label, cid, winners = (fresh(columns, x) for x in ("__fp", "__label", "__component", "__winners"))
+    fp, label, cid, winners, rank = (fresh(columns, x) for x in ("__fp", "__label", "__component", "__winners", "__rank"))
     groups = groups.where("size > 1")
     many = materialize(groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid), F.col("winners").alias(winners)), "copies")
     marked = add(docs, fp).join(many, fp, "left")
-    kept, columns = marked.where(F.col(label).isNull() | F.col(id_col).eqNullSafe(F.col(cid))), [named(c) for c in columns]
+    kept, columns = marked.where(F.col(label).isNull() | named(id_col).eqNullSafe(F.col(cid))), [named(c) for c in columns]
     if not many.where(F.col(winners) > 1).limit(1).count():
         return kept.select(columns)
-    tied, rank = F.coalesce(F.col(winners) > 1, F.lit(False)), fresh(columns, "__rank")
-    order = Window.partitionBy(label).orderBy(F.xxhash64(text_col), fp)
+    tied = F.coalesce(F.col(winners) > 1, F.lit(False))
+    order = Window.partitionBy(label).orderBy(F.xxhash64(named(text_col)), fp)
     some = kept.where(tied).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return kept.where(~tied).select(columns).union(some.select(columns))

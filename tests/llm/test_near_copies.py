@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 
-from stackroom.llm import minhash
+from stackroom.llm import minhash, simhash
 
 SF = "/root/testdata/sf0.1"
 
@@ -79,8 +79,30 @@ def test_large_groups_chains_and_cases(spark):
     rng.shuffle(rows)
     want, _ = brute_survivors(rows)
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, fp int, keys string")
-    for leads in (1, 4):
-        kept = minhash.deduplicate(df, cfg=minhash.NearCopies(leads=leads))
+    for words in (1, 8):
+        kept = minhash.deduplicate(df, cfg=minhash.NearCopies(words=words))
         got = [r["doc_id"] for r in kept.collect()]
         assert kept.columns == df.columns and len(got) == len(want) and set(got) == want
+    dotted = df.withColumnRenamed("keys", "a.b")
+    assert minhash.deduplicate(dotted).columns == dotted.columns and simhash.deduplicate(dotted).columns == dotted.columns
     assert minhash.deduplicate(df.limit(0)).count() == 0 and minhash.near_copies(df).count() == len(rows)
+
+
+def test_groups_at_the_edge_of_the_similarity(spark):
+    """Copies of texts that aren't there themselves, some too far from all others, some joined by edits that they share."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 250))]
+        edits = [(rng.randrange(len(base)), f"e{rng.randrange(10**6)}") for _ in range(12)]
+        for _ in range(80):
+            copy = list(base)
+            for at, word in [*rng.sample(edits, rng.randint(0, 3)), *[(rng.randrange(len(base)), f"n{rng.randrange(10**6)}") for _ in range(rng.randint(1, 5))]]:
+                copy[at] = word
+            texts.append(" ".join(copy[: len(copy) - rng.choice((0, 0, 0, 9))]))
+    rows = list(enumerate(texts))
+    want, pairs = brute_survivors(rows)
+    assert 150 < len(want) < len(rows) - 50 and pairs
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (1, 8):
+        assert {r["doc_id"] for r in minhash.deduplicate(df, cfg=minhash.NearCopies(words=words)).collect()} == want
