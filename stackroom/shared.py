@@ -88,12 +88,24 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1 and so on, which functions over Arrow batches can take whatever they
+    were called, and the new name of each old one."""
+    now = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[named(c).alias(x) for c, x in now.items()]), now
+
+
+def old_names(df: DataFrame, now: dict[str, str]) -> DataFrame:
+    """The columns that plain_names() renamed, under their old names."""
+    return df.select(*[F.col(x).alias(c) for c, x in now.items()])
+
+
 def wide_rows(spark: SparkSession) -> None:
     """Smaller Arrow batches, for rows that hold whole texts: what Python workers take at a time is
     bounded by bytes, and by a number of rows that suits them. Settings that were changed stay."""
     for key, usual, ours in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b"), "16MB"),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "512"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b"), "8MB"),
     ):
         if spark.conf.get(key) in usual:
             spark.conf.set(key, ours)
