@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.shared import fresh, materialize, wide_rows
+from stackroom.shared import materialize, old_names, plain_names, wide_rows
 
 #: The characters that count as symbols, and the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -318,8 +318,9 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     """The rows of docs that the base rules and the forest keep, with all their columns; by row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     wide_rows(docs.sparkSession)
+    docs, now = plain_names(docs)
     columns = docs.columns
-    source = docs.withColumn(fresh(columns, "__data"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    source = docs.withColumn("data", F.coalesce(F.col(now[text_col]), F.lit("")).cast("binary"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -334,4 +335,4 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
             rows = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns)
             yield rows.filter(pa.array(good))
 
-    return source.mapInArrow(run, docs.schema)
+    return old_names(source.mapInArrow(run, docs.schema), now)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackroom.llm.components import connected_components
-from stackroom.shared import fresh, materialize, named, wide_rows
+from stackroom.shared import fresh, materialize, named, old_names, plain_names, wide_rows
 
 SEED = 42
 #: Shingles that are hashed at a time.
@@ -65,7 +65,7 @@ def fingerprint(data: bytes, shingle_words: int = 3) -> int:
 def add_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle_words: int = 3) -> DataFrame:
     """docs with the fingerprint of each row's text; by row, without a shuffle."""
     wide_rows(docs.sparkSession)
-    source = docs.withColumn(fresh(docs.columns, "__data"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    source = docs.withColumn(fresh(docs.columns, "__data"), F.coalesce(named(text_col), F.lit("")).cast("binary"))
     schema = T.StructType([*docs.schema, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -190,7 +190,7 @@ def near_duplicates(
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    return add_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", shingle_words).select("id", "fp")
+    return add_fingerprint(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), "text", "fp", shingle_words).select("id", "fp")
 
 
 def deduplicate(
@@ -199,26 +199,26 @@ def deduplicate(
     """The rows of docs without near copies: of each component the row with the least id stays (see keep_least)."""
     rows = materialize(_fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     groups = group_fingerprints(rows, "id", "fp", max_bits, dense)
-    return keep_least(docs, groups, lambda df, out: add_fingerprint(df, text_col, out, shingle_words), id_col, text_col)
+    return keep_least(docs, groups, lambda df, text, out: add_fingerprint(df, text, out, shingle_words), id_col, text_col)
 
 
 def keep_least(docs: DataFrame, groups: DataFrame, add, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of groups (as group_linked gives them) the row of docs with the least id.
 
     Where several rows have that id (repeated rows), one of them stays, by the hash of
-    its text. Fingerprints are computed again next to the texts, by add(docs, column), which
+    its text. Fingerprints are computed again next to the texts, by add(docs, text column, column), which
     is cheaper than to keep a second copy of them. Rows without copies stay where they are if
     the table of groups is small enough for Spark to broadcast.
     """
-    columns = docs.columns
-    fp, label, cid, winners, rank = (fresh(columns, x) for x in ("__fp", "__label", "__component", "__winners", "__rank"))
-    groups = groups.where("size > 1")
-    many = materialize(groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid), F.col("winners").alias(winners)), "copies")
-    marked = add(docs, fp).join(many, fp, "left")
-    kept, columns = marked.where(F.col(label).isNull() | named(id_col).eqNullSafe(F.col(cid))), [named(c) for c in columns]
-    if not many.where(F.col(winners) > 1).limit(1).count():
-        return kept.select(columns)
-    tied = F.coalesce(F.col(winners) > 1, F.lit(False))
-    order = Window.partitionBy(label).orderBy(F.xxhash64(named(text_col)), fp)
-    some = kept.where(tied).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return kept.where(~tied).select(columns).union(some.select(columns))
+    docs, now = plain_names(docs)
+    id_col, text_col = now[id_col], now[text_col]
+    marked = add(docs, text_col, "fp")
+    groups = groups.where("size > 1").select("fp", "label", "component_id", "winners")
+    many = materialize(groups, "copies")
+    kept = marked.join(many, "fp", "left").where(F.col("label").isNull() | F.col(id_col).eqNullSafe(F.col("component_id")))
+    if not many.where("winners > 1").limit(1).count():
+        return old_names(kept, now)
+    tied = F.coalesce(F.col("winners") > 1, F.lit(False))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(text_col), "fp")
+    some = kept.where(tied).withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    return old_names(kept.where(~tied), now).union(old_names(some, now))
