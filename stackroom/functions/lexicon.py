@@ -113,6 +113,16 @@ CLASSES = [
 
 MONTHS = "january february march april may june july august september october november december".split()
 
+#: Named character references that are decoded.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "rsquo": "'", "lsquo": "'", "ldquo": '"', "rdquo": '"',
+    "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…", "amp": "&",
+}
+
+#: How cameras, phones and scanners start a file's name, before a date and before a number.
+DATED_NAMES = ["IMG", "VID", "PXL", "DSC", "DSCN", "DCIM", "MVIMG", "Screenshot", "WhatsApp Image", "WhatsApp Video", "AUD", "REC", "scan"]
+NUMBERED_NAMES = ["IMG", "VID", "PXL", "DSC", "DSCN", "scan", "AUD", "REC"]
+
 # End of the fixed values.
 
 #: White space as the results define it, for Java and RE2.

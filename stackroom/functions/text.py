@@ -107,27 +107,25 @@ def title_case(text: Column) -> Column:
     return F.when(made.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.left(made, F.lit(1))), F.substring(made, F.lit(2), F.length(made)))).otherwise(made)
 
 
-_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("rsquo", "'"), ("lsquo", "'"), ("ldquo", '"'), ("rdquo", '"'),
-    ("nbsp", " "), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"), ("amp", "&"),
-]
-
-
 def _character(code: Column) -> Column:
-    """The character of a code point of the basic plane, a blank for anything else."""
-    return F.when(code.between(1, 65535), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise(" ")
+    """The character of a code point, a blank for what is none (0, surrogates, beyond U+10FFFF, null)."""
+    there = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code == 0xFEFF, F.lit("\ufeff")).when(there, made).otherwise(" ")
 
 
 def _decode_entities(text: Column) -> Column:
     """Entities decoded once each: a decoded ampersand starts no other entity."""
-    pattern = r"&(#x?[0-9a-fA-F]+|amp|lt|gt|quot|apos|nbsp|rsquo|lsquo|ldquo|rdquo|mdash|ndash|hellip);"
+    pattern = rf"&(#x?[0-9a-fA-F]+|{'|'.join(lx.ENTITIES)});"
     pieces = F.split(F.regexp_replace(text, pattern, "\ue000$1\ue001"), "\ue000")
+    number = lambda digits, base: F.when(F.length(digits) <= 7, F.conv(digits, base, 10).try_cast("bigint"))
 
     def piece(p: Column, i: Column) -> Column:
         name, rest = F.substring_index(p, "\ue001", 1), F.regexp_extract(p, "(?s)\ue001(.*)", 1)
-        value = F.when(name.startswith("#x"), _character(F.coalesce(F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).try_cast("bigint"), F.lit(0))))
-        value = value.when(name.startswith("#"), _character(F.coalesce(F.substring(name, F.lit(2), F.length(name)).try_cast("bigint"), F.lit(0))))
-        for entity, char in _ENTITIES:
+        # longer numbers are beyond all code points; of decimal ones those with letters are none
+        value = F.when(name.startswith("#x"), _character(number(F.regexp_replace(name, "^#x0*", ""), 16)))
+        value = value.when(name.rlike("^#[0-9]+$"), _character(number(F.regexp_replace(name, "^#0*", ""), 10))).when(name.startswith("#"), F.lit(" "))
+        for entity, char in lx.ENTITIES.items():
             value = value.when(name == entity, F.lit(char))
         return F.when(i == 0, p).otherwise(F.concat(value, rest))
 
