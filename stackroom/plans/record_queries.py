@@ -164,7 +164,7 @@ def weighted_rrf(spark, sf_dir):
     rows, post, stats = _index(spark, sf_dir)
     parsed = se.parse_queries(raw_queries(spark, sf_dir))
     keyword = se.with_facets(se.bm25(se.query_terms(parsed), post, stats), parsed, rows)
-    near = se.with_facets(em.similar(em.query_vectors(parsed), em.record_vectors(rows), se.MIN_SCORE), parsed, rows)
+    near = se.vector_hits(parsed, rows)
     hits = se.ranked(se.fuse(se.ranked(keyword), se.ranked(near), weights=(1.0, 0.5)), 20)
     return hits.select("query_id", F.col("rank").cast("long"), "record_id", F.round("score", 6).alias("score"))
 
