@@ -160,7 +160,7 @@ def escape(s: Column, quotes: bool = False) -> Column:
 
 
 def marcxml(marc_col: Column) -> Column:
-    """A record element; write_marcxml() adds the collection around it."""
+    """A record element; ``documents`` adds the collection around it."""
     sub = lambda s: F.concat(F.lit('      <subfield code="'), s["code"], F.lit('">'), escape(s["value"], True), F.lit("</subfield>\n"))
     control = lambda f: F.concat(F.lit('    <controlfield tag="'), f["tag"], F.lit('">'), escape(f["data"], True), F.lit("</controlfield>\n"))
     data = lambda f: F.concat(
@@ -170,6 +170,7 @@ def marcxml(marc_col: Column) -> Column:
     return F.concat(F.lit("  <record>\n    <leader>"), iso2709(marc_col)["leader"], F.lit("</leader>\n"), fields, F.lit("  </record>\n"))
 
 
+XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
 MARCXML_HEAD = f'<?xml version="1.0" encoding="UTF-8"?>\n<collection xmlns="{SLIM}" xmlns:xsi="{XSI}" xsi:schemaLocation="{SLIM} http://www.loc.gov/standards/marcxml/schema/MARC21slim.xsd">\n'
 MARCXML_TAIL = "</collection>\n"
 
@@ -254,6 +255,87 @@ def preview(format: str, exported: Column) -> Column:
     return F.substring(exported, 1, 4_000)
 
 
+def indented_jsonld(indent: str = "    ", urn: str = URN) -> Column:
+    """A record as JSON-LD over several lines, as a member of a graph."""
+
+    def member(element: str) -> Column:
+        vs = F.transform(texts(element), _json_string)
+        several = F.concat(F.lit(f"[\n{indent}    "), F.array_join(vs, f",\n{indent}    "), F.lit(f"\n{indent}  ]"))
+        return F.when(F.size(vs) > 0, F.concat(F.lit(f'"dcterms:{element}": '), F.when(F.size(vs) == 1, F.get(vs, F.lit(0))).otherwise(several)))
+
+    context = F.lit(f'"@context": {{\n{indent}    "dcterms": "http://purl.org/dc/terms/"\n{indent}  }}')
+    parts = [context, F.concat(F.lit('"@id": '), _json_string(F.concat(F.lit(urn), F.col("record_id")))), *[member(e) for e in lx.DC_ELEMENTS]]
+    return F.concat(F.lit(f"{indent}{{\n{indent}  "), F.array_join(F.array_compact(F.array(*parts)), f",\n{indent}  "), F.lit(f"\n{indent}}}"))
+
+
+#: What stands before, between and after the records of a collection, and what a collection without records is.
+COLLECTIONS = {
+    "marc": ("", "", "", ""),
+    "marcxml": (MARCXML_HEAD, "", MARCXML_TAIL, MARCXML_HEAD + MARCXML_TAIL),
+    "dublin_core": (f'{XML_HEAD}<records xmlns:oai_dc="{OAI_DC}" xmlns:dc="{DC_NS}">\n', "", "</records>\n", f'{XML_HEAD}<records xmlns:oai_dc="{OAI_DC}" xmlns:dc="{DC_NS}">\n</records>\n'),
+    "jsonld": ('{\n  "@graph": [\n', ",\n", "\n  ]\n}", '{\n  "@graph": []\n}'),
+    "iso690": ("", "\n", "", ""),
+}
+ENDINGS = {"marc": "mrc", "marcxml": "xml", "dublin_core": "xml", "jsonld": "jsonld", "iso690": "txt"}
+
+
+def _member(format: str, now: Column) -> Column:
+    return indented_jsonld() if format == "jsonld" else EXPORTERS[format](now)
+
+
+def document(records: DataFrame, format: str, now: Column) -> DataFrame:
+    """One row with one document (column ``document``) of all records, newest first: for a selection that a reader
+    exports, as the document has to fit a row. ``documents`` writes collections of any size."""
+    head, between, tail, none = COLLECTIONS[format]
+    rows = records.select("added_at", "record_id", _member(format, now).cast("string").alias("body"))
+    # newest first; sort_array sorts upwards, so times are counted back
+    back = -F.unix_micros(F.col("added_at").cast("timestamp"))
+    held = rows.agg(F.sort_array(F.collect_list(F.struct(back.alias("back"), "record_id", "body"))).alias("rows"))
+    bodies = F.filter(F.transform("rows", lambda r: r["body"]), lambda b: b.isNotNull())
+    whole = F.concat(F.lit(head), F.array_join(bodies, between), F.lit(tail))
+    return held.select(F.when(F.size(bodies) > 0, whole).otherwise(F.lit(none)).alias("document"))
+
+
+def documents(records: DataFrame, format: str, folder: str, now: Column) -> DataFrame:
+    """Writes a whole collection document for each partition to a folder that the cluster shares; returns the
+    written (path, records). Records without an export, as of a field too long for ISO 2709, are left out."""
+    from stackroom.shared import materialize, open_store
+
+    head, between, tail, _ = (x.encode() for x in COLLECTIONS[format])
+    ending = ENDINGS[format]
+    source = records.select(_member(format, now).cast("binary").alias("body")).where("body IS NOT NULL")
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        bodies = (body for batch in batches for body in batch.column(0).to_pylist())
+        first = next(bodies, None)
+        if first is None:
+            return
+        name, n = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.{ending}", 1
+        fs, root = open_store(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(head + first)
+            for body in bodies:
+                out.write(between + body)
+                n += 1
+            out.write(tail)
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
+
+    return materialize(source.mapInArrow(run, "path string, records long"), "documents-manifest")
+
+
+def file_names(records: DataFrame, format: str, many: str = "library") -> Column:
+    """What an export is saved as: a single record under its title, several under one fixed name."""
+    alone = records.limit(2).count() == 1
+    slug = F.regexp_replace(title(), "[^A-Za-z0-9]+", "_") if alone else F.lit(many)
+    return F.concat(slug, F.lit(f".{ENDINGS[format]}"))
+
+
 EXPORTERS = {"marc": lambda now: iso2709(marc(now))["bytes"], "marcxml": lambda now: marcxml(marc(now)), "dublin_core": lambda now: oai_dc("  "), "jsonld": lambda now: jsonld(), "iso690": lambda now: iso690()}
 
 
@@ -359,25 +441,5 @@ def read_mrc(spark, glob: str) -> DataFrame:
 
 
 def write_mrc(records: DataFrame, folder: str, now: Column) -> DataFrame:
-    """Writes a .mrc file for each partition to a folder that the cluster shares; returns the written (path, records)."""
-    from stackroom.shared import materialize, open_store
-
-    source = records.select(iso2709(marc(now))["bytes"].alias("bytes")).where("bytes IS NOT NULL")
-
-    def run(batches: Iterator) -> Iterator:
-        import uuid
-
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        name, n = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.mrc", 0
-        fs, root = open_store(folder)
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    out.write(data)
-                    n += 1
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
-
-    return materialize(source.mapInArrow(run, "path string, records long"), "mrc-manifest")
+    """Writes a .mrc file for each partition; see ``documents``."""
+    return documents(records, "marc", folder, now)

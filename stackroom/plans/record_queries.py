@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackroom.functions import identifiers as ids
 from stackroom.functions import lexicon as lx
 from stackroom.functions import text as tx
 from stackroom.operators import classify as cl
@@ -14,7 +15,7 @@ from stackroom.operators import index as ix
 from stackroom.operators import library as lib
 from stackroom.operators import search as se
 from stackroom.plans.text_queries import sql_terms, sql_trim, table
-from stackroom.shared import materialize, scratch
+from stackroom.shared import materialize
 from stackroom.sources import files as fl
 from stackroom.streaming import maintain as st
 
@@ -35,7 +36,7 @@ def query(oracle: str | None = None):
 _MEDIA = "['book', 'document', 'image', 'video', 'audio']"
 _RECORDS = f"""WITH records AS (SELECT doc_id AS record_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS title, source AS creator, text,
   {_MEDIA}[1 + doc_id % 5] AS media_type, (1990 + doc_id % 30)::VARCHAR AS date, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS added_at FROM documents),
-queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') || (['', ' video', ' year:2005', ' photos 1995?'])[1 + item_id % 4] AS raw FROM benchmark)
+queries AS (SELECT item_id AS query_id, text || (['', ' video', ' year:2005', ' photos 1995?'])[1 + item_id % 4] AS raw FROM benchmark)
 """
 _INDEX = _RECORDS + f""", ft AS (SELECT record_id, 'title' AS field, 0 AS place, 3 AS weight, {sql_terms('title')} AS terms FROM records
   UNION ALL SELECT record_id, 'creator', 1, 2, {sql_terms('creator')} FROM records UNION ALL SELECT record_id, 'text', 6, 1, ({sql_terms('text')})[1:20000] FROM records),
@@ -80,8 +81,7 @@ def as_records(docs: DataFrame) -> DataFrame:
 def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark")
     endings = F.array(*map(F.lit, ("", " video", " year:2005", " photos 1995?")))
-    text = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return asked.select(F.col("item_id").alias("query_id"), F.concat(text, F.element_at(endings, (1 + F.col("item_id") % 4).cast("int"))).alias("raw"))
+    return asked.select(F.col("item_id").alias("query_id"), F.concat("text", F.element_at(endings, (1 + F.col("item_id") % 4).cast("int"))).alias("raw"))
 
 
 def _index(spark, sf_dir):
@@ -346,12 +346,12 @@ def classify_records(spark, sf_dir):
     return got.select("record_id", F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["number"], F.round(s["confidence"], 4).cast("string"))), ",").alias("classes"), F.array_join("subjects", ",").alias("subjects"))
 
 
-@query("SELECT user_id, min(event_id) IS NOT NULL AS seen FROM events GROUP BY user_id")
+@query("SELECT user_id, 1::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events)")
 def stream_dedup(spark, sf_dir):
+    """How many rows of each user a deduplicated stream lets through."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = "dedup_" + scratch(spark, "q").rsplit("-", 1)[-1]
-    return st.run_to_memory(st.dedup_stream(stream.select("user_id"), "user_id"), name).select("user_id", F.lit(True).alias("seen"))
+    return st.run_through(st.dedup_stream(stream.select("user_id"), "user_id"), "dedup").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -361,5 +361,45 @@ def stream_counts(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     counts = stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    name = "counts_" + scratch(spark, "q").rsplit("-", 1)[-1]
-    return st.run_to_memory(counts, name, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return st.run_through(counts, "counts", complete=True).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("""SELECT 'r' || p_partkey AS record_id, CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN '641' END WHEN p_partkey % 5 = 0 THEN '330' END AS class_number FROM part""")
+def class_edits(spark, sf_dir):
+    """Class numbers that readers accept or clear."""
+    n = F.col("p_partkey")
+    edits = table(spark, sf_dir, "part").where(n % 7 == 0).select(F.concat(F.lit("r"), n.cast("string")).alias("record_id"), F.when(n % 2 == 0, "641").alias("class_number"))
+    return lib.set_class(catalogue_records(spark, sf_dir), edits).select("record_id", "class_number")
+
+
+@query("""SELECT 'r' || p_partkey AS record_id, CASE WHEN p_partkey % 3 = 0 THEN 'confirmed' ELSE 'draft' END AS status,
+ CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE 'The ' || p_name || ' & <more>' END AS title,
+ CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'Roe, Ada:user|B. Two:user' WHEN p_partkey % 4 = 0 THEN 'Jane Q. Doe:user|Acme Press:user' ELSE 'John Smith:user' END AS creators,
+ p_type || ':rules' AS subjects,
+ CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN p_brand || ':user' ELSE '' END AS publishers FROM part""")
+def review_accept(spark, sf_dir):
+    """Reviews: a new title, other creators, a publisher that is taken out, and a subject left as it was shown."""
+    n = F.col("p_partkey")
+    fields = F.map_from_arrays(
+        F.array(*map(F.lit, ("title", "creator", "subject", "publisher"))),
+        F.array(F.concat(F.upper("p_name"), F.lit("  ")), F.when(n % 2 == 0, " Roe, Ada ;; B. Two").when(n % 4 == 0, "Jane Q. Doe; Acme Press").otherwise("John Smith"), F.concat(F.lit(" "), F.col("p_type")), F.lit(" ")),
+    )
+    edits = table(spark, sf_dir, "part").where(n % 3 == 0).select(F.concat(F.lit("r"), n.cast("string")).alias("record_id"), fields.alias("fields"))
+    got = lib.accept_reviews(catalogue_records(spark, sf_dir), edits)
+    shown = lambda e: F.array_join(F.transform(F.col(f"dc.{e}"), lambda v: F.concat(v["value"], F.lit(":"), v["source"])), "|")
+    return got.select("record_id", "status", lib.first("title").alias("title"), shown("creator").alias("creators"), shown("subject").alias("subjects"), shown("publisher").alias("publishers"))
+
+
+_STORED = "WITH stored AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END || text AS text FROM documents WHERE doc_id % 10 <> 5)"
+
+
+@query(_STORED + """ SELECT d.doc_id, (s.doc_id IS NULL OR substr(s.text, 1, 6000) <> substr(d.text, 1, 6000))::INT::DOUBLE AS made FROM documents d LEFT JOIN stored s USING (doc_id)""")
+def vector_refresh(spark, sf_dir):
+    """Vectors after a refresh: 1 where a new one was made, 0 where the stored one stays; those of records that are gone go."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "record_id")
+    signature = ids.document_signature(F.col("source"), F.substring("text", 1, 6000))
+    zero, one = F.array(F.lit(0.0)).alias("vector"), F.array(F.lit(1.0)).alias("vector")
+    before = docs.where("record_id % 10 <> 5").withColumn("text", F.concat(F.when(F.col("record_id") % 10 == 0, "x").otherwise(""), F.col("text")))
+    stored = before.unionByName(docs.withColumn("record_id", -1 - F.col("record_id"))).select("record_id", signature.alias("sig"), zero)
+    got = st.refresh(docs, stored, signature, lambda rows: rows.select("record_id", one))
+    return got.select(F.col("record_id").alias("doc_id"), F.get("vector", F.lit(0)).alias("made"))

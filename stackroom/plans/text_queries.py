@@ -11,6 +11,7 @@ from stackroom.functions import lexicon as lx
 from stackroom.functions import text as tx
 from stackroom.functions import vectors as vec
 from stackroom.operators import evaluate as ev
+from stackroom.streaming import maintain as st
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,14 +187,14 @@ def document_signature(spark, sf_dir):
     return docs.select("doc_id", ids.document_signature(F.col("source"), F.substring("text", 1, 6000)).alias("signature"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
+@query("""WITH stored AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END || text AS text FROM documents WHERE doc_id % 10 <> 5)
+SELECT d.doc_id FROM documents d LEFT JOIN stored s USING (doc_id) WHERE s.doc_id IS NULL OR substr(s.text, 1, 6000) <> substr(d.text, 1, 6000)""")
 def stale_signatures(spark, sf_dir):
-    """Records whose stored signature is gone or differs: every fifth was edited since."""
-    docs = table(spark, sf_dir, "documents")
-    now = docs.select("doc_id", F.xxhash64("source", "text").alias("sig"))
-    edited = F.when(F.col("doc_id") % 10 == 0, F.lit("x")).otherwise(F.lit(""))
-    stored = docs.where("doc_id % 10 <> 5").select("doc_id", F.xxhash64("source", F.concat("text", edited)).alias("stored"))
-    return now.join(stored, "doc_id", "left").where(~F.col("sig").eqNullSafe(F.col("stored"))).select("doc_id")
+    """Records whose stored signature is gone or differs."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "record_id")
+    signature = ids.document_signature(F.col("source"), F.substring("text", 1, 6000))
+    before = docs.where("record_id % 10 <> 5").withColumn("text", F.concat(F.when(F.col("record_id") % 10 == 0, "x").otherwise(""), F.col("text")))
+    return st.stale(docs, before.select("record_id", signature.alias("sig")), signature).select(F.col("record_id").alias("doc_id"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, sha256(text) AS sha256 FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.operators import index as ix
+from stackroom.shared import scratch
 
 
 def dedup_stream(stream: DataFrame, key: str, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -46,8 +49,40 @@ def stale(records: DataFrame, stored: DataFrame, signature) -> DataFrame:
     return now.join(stored.select("record_id", F.col("sig").alias("__stored")), "record_id", "left").where(~F.col("sig").eqNullSafe(F.col("__stored"))).drop("__stored")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All available input through a memory sink, for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return finish(stream.sparkSession.table(name))
+def refresh(records: DataFrame, stored: DataFrame, signature, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Vectors (record_id, sig, vector) of all records: those stored with the signature that the record still has, and
+    new ones, by embed(records), of the others. Vectors of records that are gone go."""
+    todo = stale(records, stored, signature)
+    made = embed(todo.drop("sig")).join(todo.select("record_id", "sig"), "record_id").select("record_id", "sig", "vector")
+    now = records.select("record_id", signature.alias("sig"))
+    return stored.select("record_id", "sig", "vector").join(now, ["record_id", "sig"], "left_semi").unionByName(made)
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    vectors.select("record_id", "sig", "vector").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    """Stored vectors; none if there are none or they can't be read, so that all are made again."""
+    schema = f"record_id {id_type}, sig string, vector array<double>"
+    try:
+        rows = spark.read.parquet(path)
+        return rows.select("record_id", "sig", "vector") if {"record_id", "sig", "vector"} <= set(rows.columns) else spark.createDataFrame([], schema)
+    except (AnalysisException, Py4JJavaError):
+        return spark.createDataFrame([], schema)
+
+
+def run_through(stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
+    """All available input of a stream, written to a table in the shared folder and read back.
+
+    complete: the stream is an aggregation, of which each batch writes the whole result.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+    sink = stream.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    if complete:
+        sink = sink.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        sink = sink.format("parquet").option("path", path)
+    sink.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
