@@ -101,7 +101,8 @@ def _shared(variants: DataFrame) -> DataFrame:
     join to a written table can be split.
     """
     counts = variants.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1")
-    return variants.join(materialize(counts, "shared-keys"), ["slot", "key"])
+    # the table of keys grows with the input, so it is never broadcast
+    return variants.join(materialize(counts, "shared-keys").hint("merge"), ["slot", "key"])
 
 
 def link_fingerprints(fps: DataFrame, fp_col: str = "fp", max_bits: int = 2, dense: int = 256) -> DataFrame:
