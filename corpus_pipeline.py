@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
-    return minhash.deduplicate(docs, cfg=minhash.NearCopies(shingle_words=5, similarity=0.8))
+    """SimHash groups, held against five-word shingles of similarity 0.8; MinHash adds near copies that differ by more bits.
+
+    Of each group of near copies the document with the least id stays.
+    """
+    return minhash.deduplicate(docs, cfg=minhash.NearCopies(shingle_words=5, similarity=0.8, max_bits=2))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles.
+"""Near-duplicate groups by the Jaccard similarity of word shingles: SimHash groups, then MinHash keys.
 
 Two texts link if their sets of ``shingle_words``-word shingles have a Jaccard similarity
-of ``similarity`` or more. Candidates come from MinHash: ``bands`` keys of ``rows`` least
-hashes each, and texts that share a key are compared by their whole sets of 64-bit shingle
+of ``similarity`` or more. SimHash groups come first: texts whose fingerprints over these shingles
+are joined by links of ``max_bits`` or fewer bits (see ``simhash``) are each compared with one lead of
+their group. Pairs that differ by more bits, as most at the edge of the similarity do, and those
+that a lead leaves apart come from MinHash: ``bands`` keys of ``rows`` least hashes each; keys whose
+texts SimHash has joined already are done. Texts are compared by their whole sets of 64-bit shingle
 hashes, so a link is never a guess. A pair of similarity s shares no key with probability
 ``(1 - s**rows) ** bands``: 3 in a million at 0.8, less above.
 
 Texts that are equal but for the case of A-Z and white space are one vertex, named by a
 64-bit hash, so copies cost nothing. A text of whose shingles too few occur in any other
-candidate can't link and is left out. Of the texts that share a key, each is first compared
+candidate can't link and is left out. Of the texts that share a key, too, each is first compared
 with one lead, the text that has the least of its own. That joins a group of near copies in a
 linear number of comparisons, and shows how each text differs from the lead. What those links
 leave apart is compared pair by pair, but only pairs that can reach the similarity: an upper
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from stackroom.llm import wordblocks as wb
 from stackroom.llm.components import connected_components
-from stackroom.llm.simhash import BLOCK, group_linked, keep_least
+from stackroom.llm.simhash import BLOCK, fingerprint, group_linked, keep_least, link_fingerprints
 from stackroom.shared import fresh, materialize, named, wide_rows
 
 SEED, NAME_SEED = 42, 7
@@ -38,11 +41,12 @@ SEED, NAME_SEED = 42, 7
 
 @dataclass(frozen=True)
 class NearCopies:
-    """What links texts, and how candidates are found. block: shingles hashed at a time; words: 64-bit
+    """What links texts, and how candidates are found. max_bits: of SimHash; block: shingles hashed at a time; words: 64-bit
     words of a bitmap of what a text lacks."""
 
     shingle_words: int = 5
     similarity: float = 0.8
+    max_bits: int = 2
     bands: int = 32
     rows: int = 5
     block: int = 1024
@@ -132,16 +136,16 @@ def add_name(docs: DataFrame, text_col: str = "text", out: str = "fp") -> DataFr
 
 
 def _named_keys(docs: DataFrame, id_col: str, text_col: str, cfg: NearCopies) -> DataFrame:
-    """The written table (id, fp, keys) of each row."""
+    """The written table (id, fp, simhash, keys) of each row."""
     held: list = []
 
     def make(data: bytes) -> tuple:
         if not held:
             held.append(_constants(cfg))
-        return text_name(data), band_keys(shingle_hashes(data, cfg.shingle_words), cfg, held[0])
+        return text_name(data), fingerprint(data, cfg.shingle_words), band_keys(shingle_hashes(data, cfg.shingle_words), cfg, held[0])
 
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
-    return materialize(_by_text(rows, "text", [("fp", "long"), ("keys", "longs")], make, ["id"]), "minhash")
+    return materialize(_by_text(rows, "text", [("fp", "long"), ("simhash", "long"), ("keys", "longs")], make, ["id"]), "minhash")
 
 
 def lacks(lead, text, words: int):
@@ -219,15 +223,29 @@ def _own(bodies: DataFrame) -> DataFrame:
     return packets.groupBy("bucket").applyInArrow(count, "fp long, own long").groupBy("fp").agg(F.sum("own").alias("own"))
 
 
+def _with_leads(members: DataFrame, bodies: DataFrame, cfg: NearCopies) -> tuple[DataFrame, DataFrame]:
+    """members (key, fp, size, common) of keys that several texts share, with each key's lead, and what comparing texts with their leads gives."""
+    order = F.struct(((F.col("size") - F.col("common")) / F.greatest("size", F.lit(1))).alias("share"), "fp", "size")
+    lead = materialize(members.groupBy("key").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leads")
+    placed = materialize(members.join(lead.select("key", F.col("h.fp").alias("lead"), F.col("h.size").alias("lead_size")), "key"), "placed")
+    pairs = materialize(placed.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    return placed, _compare(pairs, bodies, cfg)
+
+
 def link_texts(docs: DataFrame, rows: DataFrame, text_col: str, cfg: NearCopies) -> DataFrame:
-    """Edges (a, b) that join all texts that link into their components; rows has the fp and keys of docs."""
-    nodes = materialize(rows.groupBy("fp").agg(F.first("keys").alias("keys")), "texts")
+    """Edges (a, b) that join all texts that link into their components; rows has the fp, simhash and keys of docs."""
+    nodes = materialize(rows.groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("keys").alias("keys")), "texts")
+    groups = materialize(connected_components(link_fingerprints(nodes, "simhash", cfg.max_bits)), "labels").withColumnRenamed("node", "simhash")
+    placed = nodes.select("fp", "simhash").join(groups, "simhash", "left").select("fp", F.coalesce("label", "simhash").alias("key"))
+    shared = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    alike = materialize(placed.join(shared, "key").select("key", "fp"), "alike")
     every = nodes.select("fp", F.explode("keys").alias("key"))
     many = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     members = materialize(every.join(many, "key").select("key", "fp"), "members")
-    if not members.limit(1).count():
-        return members.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    wanted = materialize(members.select("fp").distinct(), "wanted")
+    candidates = members.select("fp").union(alike.select("fp"))
+    if not candidates.limit(1).count():
+        return candidates.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    wanted = materialize(candidates.distinct(), "wanted")
     texts = add_name(docs.select(named(text_col).alias("text")), "text", "fp").join(wanted, "fp", "left_semi")
     texts = texts.groupBy("fp").agg(F.first("text").alias("text"))
 
@@ -241,19 +259,21 @@ def link_texts(docs: DataFrame, rows: DataFrame, text_col: str, cfg: NearCopies)
     facts = materialize(facts.where(F.col("common") >= F.lit(cfg.similarity) * F.col("size") - 1e-6), "facts")
     bodies = bodies.drop("size")
 
-    known = materialize(members.join(facts, "fp"), "members")
-    order = F.struct(((F.col("size") - F.col("common")) / F.greatest("size", F.lit(1))).alias("share"), "fp", "size")
-    lead = materialize(known.groupBy("key").agg(F.min(order).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leads")
-    placed = materialize(known.join(lead.select("key", F.col("h.fp").alias("lead"), F.col("h.size").alias("lead_size")), "key"), "placed")
-    pairs = materialize(placed.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    first = _compare(pairs, bodies, cfg)
-    edges = first.where("near").select("a", "b")
+    _, first = _with_leads(materialize(alike.join(facts, "fp"), "alike"), bodies, cfg)
+    joined = first.where("near").select("a", "b")
+
+    # a text has one SimHash group, so these links are stars; keys whose texts they join are done
+    stars = joined.select(F.col("a").alias("fp"), F.col("b").alias("star"))
+    known = materialize(members.join(facts, "fp").join(stars, "fp", "left").withColumn("star", F.coalesce("star", "fp")), "members")
+    open_keys = known.groupBy("key").agg(F.min("star").alias("x"), F.max("star").alias("y")).where("x <> y").select("key")
+    placed, first = _with_leads(known.drop("star").join(materialize(open_keys, "keys"), "key"), bodies, cfg)
+    edges = joined.union(first.where("near").select("a", "b"))
 
     labels = materialize(connected_components(edges), "labels").withColumnRenamed("node", "fp")
     seen = first.select(F.col("a").alias("fp"), F.col("b").alias("lead"), "both", "bits")
     labelled = placed.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    # keys whose texts are one component are done
+    # so are keys whose texts are one component now
     apart = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     left = labelled.join(materialize(apart.select("key", F.col("m.label").alias("main")), "apart"), "key").join(seen, ["fp", "lead"], "left")
     nothing = F.array(*[F.lit(0).cast("long")] * cfg.words)
@@ -277,7 +297,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cfg = cfg or NearCopies()
     rows = _named_keys(docs, id_col, text_col, cfg)
     groups = group_linked(rows, link_texts(docs, rows, text_col, cfg), "id", "fp")
-    return rows.join(groups.select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.select("id", "fp").join(groups.select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearCopies | None = None) -> DataFrame:

@@ -106,3 +106,25 @@ def test_groups_at_the_edge_of_the_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for words in (1, 8):
         assert {r["doc_id"] for r in minhash.deduplicate(df, cfg=minhash.NearCopies(words=words)).collect()} == want
+
+
+def test_simhash_groups_link_near_copies_without_any_minhash_key(spark):
+    """Without bands only SimHash gives candidates, and whole sets still decide: equal fingerprints alone are no link."""
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        base = prose(1500)
+        texts += [" ".join(base), " ".join([*base, *prose(1)]), " ".join([*prose(1), *base[1:]])]
+    texts += ["x " * 3000 + " ".join(prose(40)) for _ in range(6)]  # one shingle outweighs all others, few are shared
+    rows = list(enumerate(texts))
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert len(set(prints[30:])) == 1
+    want, _ = brute_survivors(rows)
+    near = [(3 * i, 3 * i + k) for i in range(10) for k in (1, 2)]
+    linked = {b for a, b in near if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert len(linked) >= 10 and want == {*range(0, 30, 3), *range(30, 36)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in minhash.deduplicate(df, cfg=minhash.NearCopies(bands=0)).collect()}
+    assert want <= got and not got & linked
+    assert {r["doc_id"] for r in minhash.deduplicate(df).collect()} == want
