@@ -60,7 +60,7 @@ class LmConfig:
     classes: int = 64
     single: int = 32
     own: int = 512
-    batch: int = 512
+    batch: int = 96
     train_batch: int = 128
     rounds: int = 4
     step: float = 0.02
@@ -141,6 +141,24 @@ def causal_mask(window: int, scored: int):
     return (np.arange(window)[None, :] <= np.arange(window - scored, window)[:, None]).astype(np.float32)
 
 
+def _exp(make, most: float, ones, mask=None):
+    """(e to the power of make(), times mask; its products with ones): powers are clipped at most, either way, only if some could matter."""
+    import numpy as np
+
+    for clip in (False, True):
+        x = make()
+        if clip:
+            np.clip(x, -most, most, out=x)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(x, out=x)
+            if mask is not None:
+                x *= mask
+            total = x.reshape(-1, x.shape[-1]) @ ones
+        # not a number is not within the bounds either
+        if clip or (total.max(initial=1.0) < np.exp(most) and total.min(initial=1.0) > np.exp(-most / 2)):
+            return x, total
+
+
 def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
     """Log probability of each target class: rows are (windows, window) embedding rows,
     targets (windows, scored) classes that follow the last `scored` of them."""
@@ -152,21 +170,32 @@ def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
     x += w["p"]
     last = np.ascontiguousarray(x[:, cfg.window - scored :, :]).reshape(-1, d)
     q = (last @ (w["q"] * np.float32(d**-0.5))).reshape(n, scored, d)
-    k, v = ((x.reshape(-1, d) @ w[m]).reshape(n, cfg.window, d) for m in "kv")
-    s = q @ k.transpose(0, 2, 1)
-    np.clip(s, -60.0, 60.0, out=s)
-    np.exp(s, out=s)
-    s *= mask
+    k, v = np.split((x.reshape(-1, d) @ np.concatenate((w["k"], w["v"]), 1)).reshape(n, cfg.window, 2 * d), 2, axis=2)
+    s, total = _exp(lambda: q @ k.transpose(0, 2, 1), 60.0, np.ones(cfg.window, x.dtype), mask)
     a = (s @ v).reshape(-1, d)
-    a /= (s.reshape(-1, cfg.window) @ np.ones(cfg.window, s.dtype))[:, None]
-    h = last + a @ w["o"]
-    z = h @ w["u"]
+    a /= total[:, None]
+    h = a @ w["o"]
+    h += last
     t = targets.reshape(-1)
-    hit = z[np.arange(n * scored), t]
-    np.minimum(z, 80.0, out=z)
-    np.exp(z, out=z)
+    hit = np.zeros(0, x.dtype)
+
+    def powers():
+        nonlocal hit
+        z = h @ w["u"]
+        hit = z.reshape(-1).take(np.arange(0, z.size, cfg.classes) + t)
+        return z
+
     # the constants are factors of what is summed
-    return (np.minimum(hit, 80.0) + w["c"].take(t) - np.log(z @ np.exp(w["c"]))).reshape(n, scored)
+    _, total = _exp(powers, 80.0, np.exp(w["c"]))
+    return (np.minimum(hit, 80.0) + w["c"].take(t) - np.log(total)).reshape(n, scored)
+
+
+def _over_rows(x, y, parts: int):
+    """x.T @ y for many more rows than columns, by equal parts of the rows, which takes about half as long."""
+    import numpy as np
+
+    x, y = x.reshape(parts, -1, x.shape[1]), y.reshape(parts, -1, y.shape[1])
+    return np.matmul(x.transpose(0, 2, 1), y).sum(0)
 
 
 def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
@@ -184,25 +213,26 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
     wide = np.concatenate((w["q"] * scale, w["k"], w["v"]), 1)
     q, k, v = np.split((flat @ wide).reshape(n, size, 3 * d), 3, axis=2)
     # sums over a row are products with ones, and what is not needed again is written over
-    a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -60.0, 60.0, out=a)
-    np.exp(a, out=a)
-    a *= mask
-    a /= (a.reshape(-1, size) @ np.ones(size, kind)).reshape(n, size, 1)
+    a, sums = _exp(lambda: q @ k.transpose(0, 2, 1), 60.0, np.ones(size, kind), mask)
+    a /= sums.reshape(n, size, 1)
     o = (a @ v).reshape(-1, d)
-    h = flat + o @ w["o"]
-    p = h @ w["u"]
-    p += w["c"]
-    np.clip(p, -80.0, 80.0, out=p)
-    np.exp(p, out=p)
-    at, total = np.arange(len(t)), p @ np.ones(cfg.classes, kind)
+    h = o @ w["o"]
+    h += flat
+    # the constants are factors of columns, and shares over sums those of rows: both are applied where arrays are small
+    factor = np.exp(w["c"])
+    p, total = _exp(lambda: h @ w["u"], 80.0, factor)
     share = np.full(len(t), 1 / len(t), kind) if real is None else (real.reshape(-1) / max(1, real.sum())).astype(kind)
-    loss = -float(np.log(p[at, t] / total + 1e-30) @ share)
-    p *= (share / total)[:, None]
-    p[at, t] -= share
-    g = {"u": h.T @ p, "c": np.ones(len(t), kind) @ p}
-    dh = p @ w["u"].T
-    g["o"] = o.T @ dh
+    at, mine = np.arange(0, p.size, cfg.classes) + t, factor.take(t)
+    hit = p.reshape(-1).take(at)
+    loss = -float(np.log(hit * mine / total + 1e-30) @ share)
+    p.reshape(-1)[at] = hit - total / mine
+    share = share / total
+    g = {"c": (share @ p) * factor}
+    h *= share[:, None]
+    g["u"] = _over_rows(h, p, size) * factor
+    dh = p @ (w["u"] * factor).T
+    dh *= share[:, None]
+    g["o"] = _over_rows(o, dh, size)
     do = dh @ w["o"].T
     ds = do.reshape(n, size, d) @ v.transpose(0, 2, 1)
     ds -= np.einsum("ij,ij->i", do, o).reshape(n, size, 1)
@@ -212,7 +242,7 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
     np.matmul(ds.transpose(0, 2, 1), q, out=back[..., d : 2 * d])
     np.matmul(a.transpose(0, 2, 1), do.reshape(n, size, d), out=back[..., 2 * d :])
     back = back.reshape(-1, 3 * d)
-    g["q"], g["k"], g["v"] = np.split(flat.T @ back, 3, axis=1)
+    g["q"], g["k"], g["v"] = np.split(_over_rows(flat, back, size), 3, axis=1)
     g["q"] = g["q"] * scale
     dx = dh
     dx += back @ wide.T
@@ -271,10 +301,18 @@ def train(vector, parts, cfg: LmConfig):
         for lo in range(0, len(rows), cfg.train_batch):
             some, step = slice(lo, lo + cfg.train_batch), step + 1
             _, g = gradient(unflatten(vector, cfg), rows[some], targets[some], cfg, mask, real[some])
-            m = 0.9 * m + 0.1 * g
-            v2 = 0.99 * v2 + 0.01 * g * g
+            m *= 0.9
+            m += 0.1 * g
+            v2 *= 0.99
+            g *= g
+            g *= 0.01
+            v2 += g
             rate = cfg.step * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-            vector -= (rate * m / (np.sqrt(v2) + 1e-6)).astype(np.float32)
+            np.sqrt(v2, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= rate
+            vector -= g
     return vector, count
 
 
@@ -282,23 +320,23 @@ def score_documents(w: dict, vocabulary: Vocabulary, flat, sizes, cfg: LmConfig)
     """Natural log probability of each document: flat holds all documents' ids, each with its end id."""
     import numpy as np
 
-    out = np.zeros(len(sizes))
     lead, per_doc = cfg.window - cfg.stride, -(-sizes // cfg.stride)
     rows, ids, slots, starts = lay_out(vocabulary, flat, sizes, lead, lead + per_doc * cfg.stride)
-    classes = vocabulary.cls.take(ids)
-    # what an id adds besides its class; empty slots add nothing
-    share, real = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
-    share[slots], real[slots] = vocabulary.share.take(flat), 1.0
+    if not len(flat):
+        return np.zeros(len(sizes))
+    real = np.zeros(len(ids), np.float32)
+    real[slots] = 1.0
+    # what ids add besides their classes; no document is without its end
+    out = np.add.reduceat(vocabulary.share.take(flat), np.cumsum(sizes) - sizes, dtype=np.float64)
     mask = causal_mask(cfg.window, cfg.stride)
     doc_of = np.repeat(np.arange(len(sizes)), per_doc)
     first = starts[doc_of] + (np.arange(len(doc_of)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * cfg.stride
-    ahead = np.arange(cfg.window)
+    rows = np.lib.stride_tricks.sliding_window_view(rows, cfg.window)
+    classes, real = (np.lib.stride_tricks.sliding_window_view(x[lead:], cfg.stride) for x in (vocabulary.cls.take(ids), real))
     for lo in range(0, len(doc_of), cfg.batch):
-        docs, seen = doc_of[lo : lo + cfg.batch], first[lo : lo + cfg.batch, None] + ahead
-        scored = seen[:, lead:]
-        got = class_log_probs(w, rows.take(seen), classes.take(scored), cfg, mask)
-        got *= real.take(scored)
-        got += share.take(scored)
+        docs, some = doc_of[lo : lo + cfg.batch], first[lo : lo + cfg.batch]
+        got = class_log_probs(w, rows[some], classes[some], cfg, mask)
+        got *= real[some]
         part = np.bincount(docs - docs[0], got.sum(1, dtype=np.float64))
         out[docs[0] : docs[0] + len(part)] += part
     return out

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import count
 
 BLOCK_CHARS = 6_000_000
@@ -33,16 +34,20 @@ def bucket_count(spark, docs=None, each: int = 64 << 20) -> int:
     return min(1 << 20, max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // each))
 
 
-def _squeeze(data: bytes) -> bytes:
+@cache
+def _zstd() -> tuple:
+    """A compressor and a decompressor: packets are so many and small that making them anew costs more than their work."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data) if data else b""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _expand(data: bytes) -> bytes:
-    import zstandard
+def _squeeze(data: bytes) -> bytes:
+    return _zstd()[0].compress(data) if data else b""
+
 
-    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+def _expand(data: bytes) -> bytes:
+    return _zstd()[1].decompress(data) if data else b""
 
 
 def pack_numbers(values) -> bytes:
@@ -106,7 +111,7 @@ class Block:
 
     def add(self, doc, words: Iterable, chars: int) -> None:
         before = len(self.numbers)
-        self.numbers.extend(map(self.words.__getitem__, words))
+        self.numbers.fromlist(list(map(self.words.__getitem__, words)))
         self.sizes.append(len(self.numbers) - before)
         self.docs.append(doc)
         self.chars += chars

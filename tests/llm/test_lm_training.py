@@ -52,3 +52,17 @@ def test_the_model_beats_a_unigram_of_its_subwords_and_ignores_partition_counts(
     assert all(abs(r["score"] - again[i]["score"]) < 1e-3 * abs(r["score"]) + 1e-3 for i, r in first.items())
     gain = (sum(first[i]["score"] for i in held) - unigram) / sum(len(ids[i]) for i in held)
     assert gain > 0.2, gain
+
+
+def test_shortcuts_of_the_kernels_give_what_the_plain_forms_give():
+    rng = np.random.default_rng(2)
+    z, c = rng.normal(0, 1, (60, 7)).astype(np.float32), rng.random(7).astype(np.float32)
+    mask = np.tril(np.ones((60, 7), np.float32))
+    for scale in (1, 20, 200, -200):  # of these the last two overflow or vanish unless they are clipped
+        for some in (None, mask):
+            powers, total = lm._exp(lambda scale=scale: z * np.float32(scale), 60.0, c, some)
+            want = np.exp(np.clip(z * np.float32(scale), -60, 60)) * (1 if some is None else some)
+            assert np.isfinite(powers).all() and np.isfinite(total).all()
+            assert (np.abs(powers - want) <= 1e-5 * want.max(1, keepdims=True)).all() and np.allclose(total, want @ c, 1e-4)
+    x, y = rng.normal(0, 1, (72, 5)).astype(np.float32), rng.normal(0, 1, (72, 6)).astype(np.float32)
+    assert np.allclose(lm._over_rows(x, y, 24), x.T @ y, atol=1e-4)
