@@ -10,6 +10,8 @@ is hot, and texts themselves are not shuffled.
 Decoding joins ids to the table of token bytes: a vocabulary file, whose size bounds
 what is broadcast. The join is by whole Arrow columns, next to the ids: a row for each
 id and a shuffle to bring a document's rows together again would move many times the text.
+An encoder that is given the table joins the ids where it has read them back: a decoder behind
+it would take a second Python worker for each running task.
 
 Cases: a text of more than LONG_TEXT characters is cut by an iterator, with the same result; null text counts as empty and has no ids; repeated rows are encoded as often as
 they come; an id that the table lacks makes the decoded value null; other columns are
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -68,8 +70,11 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
     return _ENCODERS[key]
 
 
-def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of each row: ids are little-endian unsigned 32-bit numbers in one binary value.
+def encode_bpe(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", tokens: DataFrame | None = None
+) -> DataFrame:
+    """(id, ids) of each row: ids are little-endian unsigned 32-bit numbers in one binary value. With a token-byte table
+    (id, token) there is decoded too, as decode_bpe gives it.
 
     Texts are cut once. The tasks that cut them write their blocks' positions into a file each, and a
     table of packets; as that table names the files, and holds only what tasks that succeeded have said,
@@ -146,7 +151,9 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 out.append(len(sizes).to_bytes(4, "little") + sizes + wb.pack_numbers(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
-    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.BinaryType())])
+    join = None if tokens is None else _token_join(tokens)
+    results = ["ids"] if join is None else ["ids", "decoded"]
+    out_schema = T.StructType([T.StructField(id_col, id_type), *[T.StructField(c, T.BinaryType()) for c in results]])
 
     def assemble(table):
         import numpy as np
@@ -177,7 +184,9 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
             data = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
             cells.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(upto.astype(np.int32)), data]))
             lo, at = hi, int(ends[hi - 1])
-        return pa.table({id_col: pa.array(docs_of, batch_type), "ids": pa.chunked_array(cells, pa.binary())})
+        made = [cells] if join is None else [cells, [join(c) for c in cells]]
+        arrays = [pa.array(docs_of, batch_type), *[pa.chunked_array(x, pa.binary()) for x in made]]
+        return pa.table(arrays, names=out_schema.names)
 
     blocks = materialize(source.mapInArrow(cut, schema), "packets")
     dealt = blocks.where("bucket >= 0").select("block", "bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
@@ -186,19 +195,17 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
 
 
 def token_table(spark, ranks: dict[bytes, int]) -> DataFrame:
-    """The token-byte table (id, token); it is as large as a vocabulary file."""
-    rows = [(i, token) for token, i in ranks.items()]
-    return spark.createDataFrame(rows, "id long, token binary")
+    """The token-byte table (id, token); it is as large as a vocabulary file. Made from Arrow columns: rows would go
+    through Python workers of another kind, which stay beside the others on executors."""
+    import pyarrow as pa
 
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int64()), "token": pa.array(ranks.keys(), pa.binary())}))
 
-def decode_bpe(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out: str = "decoded", most: int = 1 << 22) -> DataFrame:
-    """encoded joined to the token-byte table (id, token) by each of its ids: the ids' bytes, one after the other.
 
-    The join takes whole Arrow columns: every id of a batch picks its row of the table, which every
-    task has. A table of more than `most` rows is refused, so what is broadcast is bounded. A column
-    named out is replaced.
-    """
+def _token_join(tokens: DataFrame, most: int = 1 << 22) -> Callable:
+    """A function that joins an Arrow column of ids to the token-byte table, which every task has: the bytes of each value's ids."""
     import numpy as np
+    import pyarrow as pa
 
     held = tokens.select(F.col("id").cast("long"), F.col("token").cast("binary")).limit(most + 1).toArrow()
     known = held.column(0).to_numpy()
@@ -206,7 +213,37 @@ def decode_bpe(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out:
         raise ValueError("the token-byte table is no vocabulary")
     place = np.full(int(known.max(initial=0)) + 2, -1, np.int32)
     place[known] = np.arange(len(known))
-    table = encoded.sparkSession.sparkContext.broadcast((place, held.column(1).to_pylist()))
+    table = tokens.sparkSession.sparkContext.broadcast((place, held.column(1).cast(pa.binary()).combine_chunks()))
+
+    def join(column):
+        place, token = table.value
+        cells = column.to_pylist()
+        sizes = np.fromiter((len(x or b"") // 4 for x in cells), np.int64, len(cells))
+        ids = np.frombuffer(b"".join(x or b"" for x in cells), "<u4")
+        row = place.take(np.minimum(ids, len(place) - 1))
+        lost = row < 0
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        bad = np.diff(np.concatenate(([0], np.cumsum(lost)))[upto]) > 0
+        bad |= np.fromiter((x is None for x in cells), bool, len(cells))
+        # the ids that picked a row, in order: their tokens' bytes are one buffer, cut where documents end
+        joined = token.take(pa.array(row[~lost] if lost.any() else row))
+        there = np.concatenate(([0], np.cumsum(~lost)))[upto]
+        ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+        data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
+        valid = pa.py_buffer(np.packbits(~bad, bitorder="little"))
+        return pa.Array.from_buffers(pa.binary(), len(cells), [valid, pa.py_buffer(np.ascontiguousarray(ends[there])), data])
+
+    return join
+
+
+def decode_bpe(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out: str = "decoded", most: int = 1 << 22) -> DataFrame:
+    """encoded joined to the token-byte table (id, token) by each of its ids: the ids' bytes, one after the other.
+
+    The join takes whole Arrow columns: every id of a batch picks its row of the table, which every
+    task has. A table of more than `most` rows is refused, so what is broadcast is bounded. A column
+    named out is replaced.
+    """
+    join = _token_join(tokens, most)
     source = encoded.drop(out)
     at = source.columns.index(ids_col)
     schema = T.StructType([*source.schema, T.StructField(out, T.BinaryType())])
@@ -214,23 +251,7 @@ def decode_bpe(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        place, token = table.value[0], pa.array(table.value[1], pa.binary())
         for batch in batches:
-            cells = batch.column(at).to_pylist()
-            sizes = np.fromiter((len(x or b"") // 4 for x in cells), np.int64, len(cells))
-            ids = np.frombuffer(b"".join(x or b"" for x in cells), "<u4")
-            row = place.take(np.minimum(ids, len(place) - 1))
-            lost = row < 0
-            upto = np.concatenate(([0], np.cumsum(sizes)))
-            bad = np.diff(np.concatenate(([0], np.cumsum(lost)))[upto]) > 0
-            bad |= np.fromiter((x is None for x in cells), bool, len(cells))
-            # the ids that picked a row, in order: their tokens' bytes are one buffer, cut where documents end
-            joined = token.take(pa.array(row[~lost] if lost.any() else row))
-            there = np.concatenate(([0], np.cumsum(~lost)))[upto]
-            ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
-            data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
-            valid = pa.py_buffer(np.packbits(~bad, bitorder="little"))
-            made = pa.Array.from_buffers(pa.binary(), len(cells), [valid, pa.py_buffer(np.ascontiguousarray(ends[there])), data])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, join(batch.column(at))], names=[*batch.schema.names, out])
 
     return source.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from stackroom.llm import audio, bpe, chat, tokenfile, urls, warc
+from stackroom.llm import audio, bpe, chat, queries, tokenfile, urls, warc
 
 TRICKY = [
     None, "", " ", "a", "plain words here.", "</s>[INST] x [/INST]\\ <\\/s>", "Ünïcode — ßéñ 😀 ́ \x1c\x85\xa0 don't  you'll\n\n 12 ab\t", "x" * 3000, "same", "same",
@@ -175,6 +175,24 @@ def test_byte_bpe_is_tiktoken(spark):
     assert [r["decoded"] for r in bpe.decode_bpe(odd, few.limit(0)).collect()] == [None, None, b"", None]
 
 
+def test_byte_bpe_takes_one_python_worker_for_a_task(spark):
+    """An encoder that is given the tokens decodes in its own last step, and the tokens are no rows of Python workers."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    tokens = bpe.token_table(spark, ranks)
+    assert "ExistingRDD" not in tokens._jdf.queryExecution().toString()
+    assert {(r["id"], bytes(r["token"])) for r in tokens.collect()} == {(i, token) for token, i in ranks.items()}
+    df = docs(spark)
+    plan = queries.bpe_digests(df)._jdf.queryExecution().executedPlan().toString()
+    steps = re.findall(r"\w*Exchange|\w+InArrow", plan.partition("Initial Plan")[0])
+    assert "FlatMapGroupsInArrow" in steps
+    assert not any("InArrow" in a and "InArrow" in b for a, b in zip(steps, steps[1:]))
+    key = lambda r: (str(r["doc_id"]), bytes(r["ids"]), None if r["decoded"] is None else bytes(r["decoded"]))
+    for table in (tokens, tokens.where("id <> 97"), tokens.limit(0)):
+        got, want = bpe.encode_bpe(df, ranks, P.PATTERN, tokens=table), bpe.decode_bpe(bpe.encode_bpe(df, ranks, P.PATTERN), table)
+        assert got.columns == want.columns == ["doc_id", "ids", "decoded"]
+        assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
 def test_byte_bpe_of_rows_in_no_fixed_order(spark):
     """Rows that come from a shuffle are cut once, so a scan in another order can't part words from their blocks."""
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
