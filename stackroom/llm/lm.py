@@ -159,25 +159,41 @@ def _exp(make, most: float, ones, mask=None):
             return x, total
 
 
-def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
+def paired(w: dict, cfg: LmConfig):
+    """Queries times keys (scaled) and values times outputs, side by side: with one head as wide as the embedding, an
+    input meets inputs through the first and adds to outputs through the second, so that four products become two."""
+    import numpy as np
+
+    return np.concatenate(((w["q"] * np.float32(cfg.dims**-0.5)) @ w["k"].T, w["v"] @ w["o"]), 1)
+
+
+def score_tables(w: dict, cfg: LmConfig):
+    """Embeddings of ids and of places, and what `paired` makes of them: a sum of two rows has all that attention reads."""
+    import numpy as np
+
+    both = paired(w, cfg)
+    return tuple(np.concatenate((w[name], w[name] @ both), 1) for name in "ep")
+
+
+def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask, tables=None):
     """Log probability of each target class: rows are (windows, window) embedding rows,
-    targets (windows, scored) classes that follow the last `scored` of them."""
+    targets (windows, scored) classes that follow the last `scored` of them; tables are the score_tables of w."""
     import numpy as np
 
     n, scored = targets.shape
     d = cfg.dims
-    x = w["e"].take(rows, 0)
-    x += w["p"]
-    last = np.ascontiguousarray(x[:, cfg.window - scored :, :]).reshape(-1, d)
-    q = (last @ (w["q"] * np.float32(d**-0.5))).reshape(n, scored, d)
-    k, v = np.split((x.reshape(-1, d) @ np.concatenate((w["k"], w["v"]), 1)).reshape(n, cfg.window, 2 * d), 2, axis=2)
-    s, total = _exp(lambda: q @ k.transpose(0, 2, 1), 60.0, np.ones(cfg.window, x.dtype), mask)
-    a = (s @ v).reshape(-1, d)
-    a /= total[:, None]
-    h = a @ w["o"]
+    ids, places = tables or score_tables(w, cfg)
+    wide = ids.take(rows, 0)
+    wide += places
+    x, v = wide[..., :d], wide[..., 2 * d :]
+    last, q = wide[:, cfg.window - scored :, :d], wide[:, cfg.window - scored :, d : 2 * d]
+    s, total = _exp(lambda: q @ x.transpose(0, 2, 1), 60.0, np.ones(cfg.window, wide.dtype), mask)
+    h = s @ v
+    h /= total.reshape(n, scored, 1)
     h += last
+    h = h.reshape(-1, d)
     t = targets.reshape(-1)
-    hit = np.zeros(0, x.dtype)
+    hit = np.zeros(0, wide.dtype)
 
     def powers():
         nonlocal hit
@@ -191,11 +207,11 @@ def class_log_probs(w: dict, rows, targets, cfg: LmConfig, mask):
 
 
 def _over_rows(x, y, parts: int):
-    """x.T @ y for many more rows than columns, by equal parts of the rows, which takes about half as long."""
+    """x.T @ y for many more rows than columns, by equal parts of the rows; y has more columns, and comes first in the product."""
     import numpy as np
 
     x, y = x.reshape(parts, -1, x.shape[1]), y.reshape(parts, -1, y.shape[1])
-    return np.matmul(x.transpose(0, 2, 1), y).sum(0)
+    return np.matmul(y.transpose(0, 2, 1), x).sum(0).T
 
 
 def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
@@ -203,25 +219,24 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
     import numpy as np
 
     n, size = targets.shape
-    d, scale = cfg.dims, np.float32(cfg.dims**-0.5)
+    d = cfg.dims
     which, t = rows.reshape(-1), targets.reshape(-1)
     x = w["e"].take(which, 0).reshape(n, size, d)
     x += w["p"]
     flat = x.reshape(-1, d)
     kind = flat.dtype
-    # queries, keys and values side by side: one product instead of three, here and on the way back
-    wide = np.concatenate((w["q"] * scale, w["k"], w["v"]), 1)
-    q, k, v = np.split((flat @ wide).reshape(n, size, 3 * d), 3, axis=2)
+    both = paired(w, cfg)
+    wide = (flat @ both).reshape(n, size, 2 * d)
+    q, v = wide[..., :d], wide[..., d:]
     # sums over a row are products with ones, and what is not needed again is written over
-    a, sums = _exp(lambda: q @ k.transpose(0, 2, 1), 60.0, np.ones(size, kind), mask)
+    a, sums = _exp(lambda: q @ x.transpose(0, 2, 1), 60.0, np.ones(size, kind), mask)
     a /= sums.reshape(n, size, 1)
     o = (a @ v).reshape(-1, d)
-    h = o @ w["o"]
-    h += flat
+    h = o + flat
     # the constants are factors of columns, and shares over sums those of rows: both are applied where arrays are small
     factor = np.exp(w["c"])
     p, total = _exp(lambda: h @ w["u"], 80.0, factor)
-    share = np.full(len(t), 1 / len(t), kind) if real is None else (real.reshape(-1) / max(1, real.sum())).astype(kind)
+    share = np.full(len(t), 1 / len(t), kind) if real is None else real.reshape(-1) * kind.type(1 / max(1, np.count_nonzero(real)))
     at, mine = np.arange(0, p.size, cfg.classes) + t, factor.take(t)
     hit = p.reshape(-1).take(at)
     loss = -float(np.log(hit * mine / total + 1e-30) @ share)
@@ -229,30 +244,31 @@ def gradient(w: dict, rows, targets, cfg: LmConfig, mask, real=None):
     share = share / total
     g = {"c": (share @ p) * factor}
     h *= share[:, None]
-    g["u"] = _over_rows(h, p, size) * factor
+    g["u"] = _over_rows(h, p, 1) * factor
     dh = p @ (w["u"] * factor).T
     dh *= share[:, None]
-    g["o"] = _over_rows(o, dh, size)
-    do = dh @ w["o"].T
-    ds = do.reshape(n, size, d) @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ij,ij->i", do, o).reshape(n, size, 1)
+    ds = dh.reshape(n, size, d) @ v.transpose(0, 2, 1)
+    o *= dh
+    ds -= (o @ np.ones(d, kind)).reshape(n, size, 1)
     ds *= a
-    back = np.empty((n, size, 3 * d), kind)
-    np.matmul(ds, k, out=back[..., :d])
-    np.matmul(ds.transpose(0, 2, 1), q, out=back[..., d : 2 * d])
-    np.matmul(a.transpose(0, 2, 1), do.reshape(n, size, d), out=back[..., 2 * d :])
-    back = back.reshape(-1, 3 * d)
-    g["q"], g["k"], g["v"] = np.split(_over_rows(flat, back, size), 3, axis=1)
-    g["q"] = g["q"] * scale
+    back = np.empty((n, size, 2 * d), kind)
+    np.matmul(ds, x, out=back[..., :d])
+    np.matmul(a.transpose(0, 2, 1), dh.reshape(n, size, d), out=back[..., d:])
+    back = back.reshape(-1, 2 * d)
+    # what the pairs' gradients say of the weights that make them
+    meet = _over_rows(flat, back, 1)
+    meet, add = meet[:, :d] * np.float32(d**-0.5), meet[:, d:]
+    g["q"], g["k"], g["v"], g["o"] = meet @ w["k"], meet.T @ w["q"], add @ w["o"].T, w["v"].T @ add
     dx = dh
-    dx += back @ wide.T
+    dx += back @ both.T
+    dx += (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
     g["p"] = dx.reshape(n, size, d).sum(0)
     # rows of one id are brought together and summed
     order = np.argsort(which.astype(np.uint16) if len(w["e"]) <= 1 << 16 else which, kind="stable")
-    some = which.take(order)
-    cuts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+    many = np.bincount(which, minlength=len(w["e"]))
+    some = np.flatnonzero(many)
     g["e"] = np.zeros((len(w["e"]), d), kind)
-    g["e"][some[cuts]] = np.add.reduceat(dx.take(order, 0), cuts)
+    g["e"][some] = np.add.reduceat(dx.take(order, 0), (np.cumsum(many) - many)[some])
     return loss, np.concatenate([g[name].reshape(-1) for name in shapes(cfg)]).astype(np.float32)
 
 
@@ -328,14 +344,14 @@ def score_documents(w: dict, vocabulary: Vocabulary, flat, sizes, cfg: LmConfig)
     real[slots] = 1.0
     # what ids add besides their classes; no document is without its end
     out = np.add.reduceat(vocabulary.share.take(flat), np.cumsum(sizes) - sizes, dtype=np.float64)
-    mask = causal_mask(cfg.window, cfg.stride)
+    mask, tables = causal_mask(cfg.window, cfg.stride), score_tables(w, cfg)
     doc_of = np.repeat(np.arange(len(sizes)), per_doc)
     first = starts[doc_of] + (np.arange(len(doc_of)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * cfg.stride
     rows = np.lib.stride_tricks.sliding_window_view(rows, cfg.window)
     classes, real = (np.lib.stride_tricks.sliding_window_view(x[lead:], cfg.stride) for x in (vocabulary.cls.take(ids), real))
     for lo in range(0, len(doc_of), cfg.batch):
         docs, some = doc_of[lo : lo + cfg.batch], first[lo : lo + cfg.batch]
-        got = class_log_probs(w, rows[some], classes[some], cfg, mask)
+        got = class_log_probs(w, rows[some], classes[some], cfg, mask, tables)
         got *= real[some]
         part = np.bincount(docs - docs[0], got.sum(1, dtype=np.float64))
         out[docs[0] : docs[0] + len(part)] += part
@@ -371,14 +387,14 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def rows():
+        def columns():
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
-                    for doc, trains, data in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns), strict=True):
-                        words = data.lower().split()
-                        words.append(END_WORD)
-                        yield (doc, trains), words, len(data)
+                    ids, trains, data = batch.slice(lo, 512).columns
+                    docs = list(zip(ids.to_pylist(), trains.to_pylist(), strict=True))
+                    yield docs, *wb.split_column(data, END_WORD), np.asarray(pc.binary_length(data)).astype(np.int64)
 
         def batch_of(kind, block, cells, docs=None, trains=None):
             n = len(cells)
@@ -394,14 +410,13 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
                 names=schema.names,
             )
 
-        for block in wb.blocks_of(rows(), buckets):
+        for block in wb.column_blocks(columns(), buckets):
             held = block.block
             trains = np.array([d[1] for d in held.docs], bool)
             numbers = np.frombuffer(held.numbers, np.uint32)
             counts = np.bincount(numbers[np.repeat(trains, held.sizes)], minlength=len(block.words))
-            cells = []
-            for bucket, some in block.packets():
-                words = wb.pack_lists([block.words[i] for i in some])
+            counts, cells = counts[block.order], []
+            for bucket, words, some in block.word_packets():
                 cells.append((bucket, len(words).to_bytes(4, "little") + words + wb.pack_numbers(counts[some])))
             yield batch_of("W", block.name, cells)
             yield batch_of("D", block.name, [(-1, block.payload())], [d[0] for d in held.docs], trains.tolist())

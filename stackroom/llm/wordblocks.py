@@ -80,8 +80,13 @@ def pack_lists(lists: Iterable[bytes], width: int = 1) -> bytes:
     import numpy as np
 
     lists = list(lists)
-    sizes = pack_numbers(np.fromiter(map(len, lists), np.int64, len(lists)) // width)
-    return struct.pack("<IB", len(sizes), width) + sizes + _squeeze(b"".join(lists))
+    return pack_joined(np.fromiter(map(len, lists), np.int64, len(lists)) // width, b"".join(lists), width)
+
+
+def pack_joined(lengths, joined: bytes, width: int = 1) -> bytes:
+    """pack_lists() of byte strings that are joined already."""
+    sizes = pack_numbers(lengths)
+    return struct.pack("<IB", len(sizes), width) + sizes + _squeeze(joined)
 
 
 def unpack_lists(data: bytes):
@@ -125,6 +130,84 @@ class Block:
         return ClosedBlock(f"{partition}-{number}-{check:08x}", self, words, dealt)
 
 
+class ColumnBlock(Block):
+    """A block whose words come as Arrow columns: they are numbered at its close, in the same order, without an object for each."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.columns: list = []
+
+    def extend(self, docs: list, words, sizes, chars: int) -> None:
+        """words: those of all docs, one after the other; sizes: how many each has."""
+        self.columns.append(words)
+        self.sizes.extend(sizes.tolist())
+        self.docs.extend(docs)
+        self.chars += chars
+
+    def close(self, partition: int, number: int, buckets: int) -> ClosedBlock:
+        import numpy as np
+        import pyarrow as pa
+
+        coded = pa.concat_arrays(self.columns).dictionary_encode()
+        self.columns = []
+        self.numbers, self.words = coded.indices.to_numpy().astype(np.uint32), _bytes_of(coded.dictionary)
+        return super().close(partition, number, buckets)
+
+
+def _bytes_of(column) -> list[bytes]:
+    """An Arrow column of strings or bytes without nulls as a list; whatever strings hold, they need not be UTF-8."""
+    import numpy as np
+
+    _, offsets, data = column.buffers()
+    kind = np.int64 if str(column.type).startswith("large") else np.int32
+    cuts = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind().itemsize).tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def split_column(texts, end: bytes):
+    """(words, sizes): those of an Arrow column of bytes, A-Z lower-cased, each text's followed by end, one after the other.
+
+    What separates words is blank and U+0009-000D, as for bytes.split(). end must be the empty word.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if end:
+        raise ValueError("only the empty word comes after a last blank")
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    # functions over ASCII take bytes as they are, but want the type of strings
+    texts = pa.Array.from_buffers(kind, len(texts), texts.buffers(), offset=texts.offset)
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    blank = pa.scalar(" ", kind)
+    # a blank at its end makes the empty word come after a text's last; a text without words is that word
+    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(texts, blank, pa.scalar("", kind)))
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+
+
+def column_blocks(columns: Iterable[tuple], buckets: int) -> Iterator[ClosedBlock]:
+    """The blocks of a partition's columns (documents, their words, numbers of words, characters): cut as blocks_of() cuts rows."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    partition, number, block = TaskContext.get().partitionId(), 0, ColumnBlock()
+    for docs, words, sizes, chars in columns:
+        ends, filled, lo = np.cumsum(sizes), np.cumsum(chars), 0
+        while lo < len(docs):
+            at, before = (int(ends[lo - 1]), int(filled[lo - 1])) if lo else (0, 0)
+            # the document that fills a block is its last
+            hi = min(len(docs), int(np.searchsorted(filled, before + BLOCK_CHARS - block.chars)) + 1)
+            block.extend(docs[lo:hi], words.slice(at, int(ends[hi - 1]) - at), sizes[lo:hi], int(filled[hi - 1]) - before)
+            lo = hi
+            if block.chars >= BLOCK_CHARS:
+                yield block.close(partition, number, buckets)
+                number, block = number + 1, ColumnBlock()
+    if block.docs:
+        yield block.close(partition, number, buckets)
+
+
 def blocks_of(rows: Iterable[tuple], buckets: int) -> Iterator[ClosedBlock]:
     """The blocks of a partition's rows (document, words, characters)."""
     from pyspark import TaskContext
@@ -158,6 +241,19 @@ class ClosedBlock:
         for part in np.split(self.order, cuts):
             yield int(self.dealt[part[0]]), part.tolist()
 
+    def word_packets(self) -> Iterator[tuple[int, bytes, slice]]:
+        """(bucket, its packed words, their place in order): packets() whose words are joined once for all buckets."""
+        import numpy as np
+
+        if not len(self.words):
+            return
+        words = [self.words[i] for i in self.order.tolist()]
+        lengths, joined = np.fromiter(map(len, words), np.int64, len(words)), b"".join(words)
+        sorted_buckets, ends = self.dealt[self.order], np.cumsum(lengths).tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(sorted_buckets)) + 1).tolist(), len(words)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield int(sorted_buckets[lo]), pack_joined(lengths[lo:hi], joined[ends[lo - 1] if lo else 0 : ends[hi - 1]]), slice(lo, hi)
+
     def payload(self) -> bytes:
         """The documents' sizes and word numbers, and each word's bucket."""
         import numpy as np

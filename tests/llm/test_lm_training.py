@@ -3,14 +3,17 @@
 import functools
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 from stackroom.llm import bpe, lm
+from stackroom.llm import wordblocks as wb
 
 
 def test_each_id_is_a_target_once_and_windows_hold_one_document():
@@ -66,3 +69,54 @@ def test_shortcuts_of_the_kernels_give_what_the_plain_forms_give():
             assert (np.abs(powers - want) <= 1e-5 * want.max(1, keepdims=True)).all() and np.allclose(total, want @ c, 1e-4)
     x, y = rng.normal(0, 1, (72, 5)).astype(np.float32), rng.normal(0, 1, (72, 6)).astype(np.float32)
     assert np.allclose(lm._over_rows(x, y, 24), x.T @ y, atol=1e-4)
+
+
+def test_fewer_products_give_the_weights_gradients_and_scores_of_one_for_each_matrix():
+    cfg = lm.LmConfig(dims=4, window=6, stride=4, classes=7, single=3, own=8)
+    rng = np.random.default_rng(5)
+    size = sum(math.prod(shape) for shape in lm.shapes(cfg).values())
+    w = lm.unflatten(rng.normal(0, 0.7, size), cfg)
+    rows, targets = rng.integers(0, 15, (9, 6)), rng.integers(0, 7, (9, 6))
+
+    def log_probs(w):
+        x = w["e"][rows] + w["p"]
+        q, k, v = (x @ w[name] for name in "qkv")
+        a = np.exp(q @ k.transpose(0, 2, 1) * cfg.dims**-0.5) * np.tril(np.ones((6, 6)))
+        z = (x + a / a.sum(2, keepdims=True) @ v @ w["o"]) @ w["u"] + w["c"]
+        z -= np.log(np.exp(z).sum(2, keepdims=True))
+        return np.take_along_axis(z, targets[..., None], 2)[..., 0]
+
+    for scored in (4, 6):
+        mask = lm.causal_mask(6, scored).astype(float)
+        got = lm.class_log_probs(w, rows, targets[:, 6 - scored :], cfg, mask, lm.score_tables(w, cfg))
+        assert np.allclose(got, log_probs(w)[:, 6 - scored :], atol=1e-5)
+    real = rng.random((9, 6)) < 0.7
+    loss, g = lm.gradient(w, rows, targets, cfg, lm.causal_mask(6, 6).astype(float), real)
+    assert abs(loss + log_probs(w)[real].mean()) < 1e-6
+    for name, some in lm.unflatten(g, cfg).items():
+        for at in list(np.ndindex(some.shape))[::5]:
+            up, down = ({**w, name: w[name].copy()} for _ in range(2))
+            up[name][at] += 1e-4
+            down[name][at] -= 1e-4
+            slope = -(log_probs(up)[real].mean() - log_probs(down)[real].mean()) / 2e-4
+            assert abs(slope - some[at]) < 1e-4, (name, at)
+
+
+def test_words_numbered_in_columns_are_those_numbered_one_by_one(monkeypatch):
+    from unittest import mock
+
+    rng = random.Random(7)
+    texts = [bytes(rng.choices(b" \t\n\x0b\x0c\r\x1c\x85\x00\xa0\xc2AZaz\xff", k=k % 17)) for k in range(400)]
+    monkeypatch.setattr(wb, "BLOCK_CHARS", 300)
+    monkeypatch.setattr("pyspark.TaskContext", mock.Mock(get=lambda: mock.Mock(partitionId=lambda: 3)))
+    want = list(wb.blocks_of(((i, [*x.lower().split(), b""], len(x)) for i, x in enumerate(texts)), 8))
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array(texts, kind)
+        parts = [(lo, column.slice(lo, 90)) for lo in range(0, len(texts), 90)]
+        columns = ((list(range(lo, lo + len(x))), *wb.split_column(x, b""), np.array([len(v) for v in x.to_pylist()])) for lo, x in parts)
+        got = list(wb.column_blocks(columns, 8))
+        assert len(got) > 5 and [(b.name, b.words, b.block.docs, b.payload()) for b in got] == [(b.name, b.words, b.block.docs, b.payload()) for b in want]
+        for b in got:
+            packets = [(n, wb.pack_lists([b.words[i] for i in some])) for n, some in b.packets()]
+            assert [(n, words) for n, words, _ in b.word_packets()] == packets
+            assert [b.order[some].tolist() for _, _, some in b.word_packets()] == [some for _, some in b.packets()]
