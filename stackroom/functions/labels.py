@@ -38,9 +38,10 @@ def source_badge(source: Column, confidence: Column) -> Column:
 
 
 def size_label(size_bytes: Column) -> Column:
-    """Whole KB, from 1,024 KB on MB with one decimal."""
+    """Whole KB, from 1,024 KB on MB with one decimal, where a tie goes to the even digit."""
     kb = size_bytes / 1024
-    return F.when(kb > 1024, F.format_string("%.1f MB", kb / 1024)).otherwise(F.format_string("%.0f KB", kb))
+    # the formatter rounds ties up
+    return F.when(kb > 1024, F.format_string("%.1f MB", F.bround(kb / 1024, 1))).otherwise(F.format_string("%.0f KB", kb))
 
 
 def tile_label(file_name: Column, media_type: Column) -> Column:
