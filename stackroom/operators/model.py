@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +54,9 @@ def body_fields(creators: Column, subjects: Column, description: Column, text: C
 
 
 def document_prompt(spec: ModelSpec, title: Column, body: Column) -> Column:
-    with_title = F.replace(F.lit(spec.document_template), F.lit("{title}"), F.coalesce(title, F.lit("")))
-    return F.replace(with_title, F.lit("{text}"), F.coalesce(body, F.lit("")))
+    # taken apart first: a title may hold the other's mark
+    parts = {"{title}": F.coalesce(title, F.lit("")), "{text}": F.coalesce(body, F.lit(""))}
+    return F.concat(*[parts.get(x, F.lit(x)) for x in re.split(r"(\{title\}|\{text\})", spec.document_template)])
 
 
 def signature(title: Column, body: Column) -> Column:
