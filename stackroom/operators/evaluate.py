@@ -27,6 +27,23 @@ def success_at(ranked: DataFrame, judged: DataFrame, k: int = 3, rel: int = 2) -
     return judged.select("query_id").distinct().join(hit.withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.col("hit").isNotNull().alias("success"))
 
 
+def label_measures(ranked: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 10, first: int = 3, rel: int = 2) -> DataFrame:
+    """(query_id, ndcg, success) by ``ndcg`` and ``success_at`` where a query's relevant records are all others of its label.
+
+    labels has record_id and label, queries query_id and label; a query is a record too. How many are relevant
+    follows from the size of the label, so no row is made for a pair but the ranked ones.
+    """
+    places = F.least(F.col("n") - 1, F.lit(k)).cast("int")
+    gain = lambda rank: (F.pow(F.lit(2.0), F.lit(rel)) - 1) / F.log2(rank + 1)
+    ideal = F.aggregate(F.sequence(F.lit(1), places), F.lit(0.0), lambda acc, i: acc + gain(i))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", ideal.alias("ideal"))
+    wanted = queries.join(sizes, "label")
+    near = ranked.where(F.col("rank") <= max(k, first)).select("query_id", "record_id", "rank")
+    hits = near.join(labels, "record_id").join(queries, ["query_id", "label"])
+    got = hits.groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))).alias("dcg"), F.max(F.col("rank") <= first).alias("hit"))
+    return wanted.join(got, "query_id", "left").select("query_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), F.coalesce("hit", F.lit(False)).alias("success"))
+
+
 def lift(new: Column, old: Column) -> Column:
     return F.when(old == 0, 0.0).otherwise((new - old) / old)
 
