@@ -36,11 +36,12 @@ def is_organisation(name: Column) -> Column:
 
 def invert_name(name: Column) -> Column:
     """``Surname, Names`` of two to four words; organisations and inverted names stay."""
-    n = tx.trim(name)
-    parts = F.split(n, f"{lx.SPACE}+")
-    inverted = F.concat(F.element_at(parts, -1), F.lit(", "), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))
-    keep = n.contains(",") | is_organisation(n) | ~F.size(parts).between(2, 4)
-    return F.when(keep, n).otherwise(inverted)
+
+    def inverted(n: Column, parts: Column) -> Column:
+        turned = F.concat(F.element_at(parts, -1), F.lit(", "), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))
+        return F.when(n.contains(",") | is_organisation(n) | ~F.size(parts).between(2, 4), n).otherwise(turned)
+
+    return tx.once(tx.trim(name), lambda n: tx.once(F.split(n, f"{lx.SPACE}+"), lambda parts: inverted(n, parts)))
 
 
 def non_filing(name: Column, language: Column) -> Column:
@@ -62,8 +63,10 @@ def _field(tag: Column | str, ind1: Column | str, ind2: Column | str, *subs: tup
 
 
 def _name_field(name: Column, tags: tuple[str, str]) -> Column:
-    org = is_organisation(name)
-    return _field(F.when(org, tags[1]).otherwise(tags[0]), F.when(org, "2").otherwise("1"), " ", ("a", F.when(org, name).otherwise(invert_name(name)), None))
+    def field(org: Column) -> Column:
+        return _field(F.when(org, tags[1]).otherwise(tags[0]), F.when(org, "2").otherwise("1"), " ", ("a", F.when(org, name).otherwise(invert_name(name)), None))
+
+    return tx.once(is_organisation(name), field)
 
 
 def marc(now: Column) -> Column:
@@ -125,23 +128,35 @@ def _field_body(f: Column) -> Column:
 
 def iso2709(marc_col: Column) -> Column:
     """A struct (bytes, error): the record as ISO 2709, or what limit it breaks. Lengths count bytes."""
-    bodies = F.transform(marc_col["fields"], lambda f: F.struct(f["tag"].alias("tag"), _field_body(f).alias("body")))
-    start = F.struct(F.lit("").alias("dir"), F.lit(0).alias("at"), F.lit(0).alias("most"))
-    walk = F.aggregate(
-        bodies,
-        start,
-        lambda acc, b: F.struct(
-            F.concat(acc["dir"], b["tag"], F.lpad(F.octet_length(b["body"]).cast("string"), 4, "0"), F.lpad(acc["at"].cast("string"), 5, "0")).alias("dir"),
-            (acc["at"] + F.octet_length(b["body"])).alias("at"),
-            F.greatest(acc["most"], F.octet_length(b["body"])).alias("most"),
-        ),
-    )
-    base = F.length(walk["dir"]) + 25
-    total = base + walk["at"] + 1
-    leader = F.concat(F.lpad(total.cast("string"), 5, "0"), F.substring(marc_col["leader"], 6, 7), F.lpad(base.cast("string"), 5, "0"), F.substring(marc_col["leader"], 18, 7))
-    text = F.concat(leader, walk["dir"], F.lit("\x1e"), F.array_join(F.transform(bodies, lambda b: b["body"]), ""), F.lit("\x1d"))
-    error = F.when(walk["most"] > 9_999, "a field exceeds 9999 bytes").when(total > 99_999, "the record exceeds 99999 bytes")
-    return F.struct(F.when(error.isNull(), text.cast("binary")).alias("bytes"), error.alias("error"), leader.alias("leader"))
+
+    def written(m: Column, bodies: Column, walk: Column) -> Column:
+        base = F.length(walk["dir"]) + 25
+        total = base + walk["at"] + 1
+        leader = F.concat(F.lpad(total.cast("string"), 5, "0"), F.substring(m["leader"], 6, 7), F.lpad(base.cast("string"), 5, "0"), F.substring(m["leader"], 18, 7))
+        text = F.concat(leader, walk["dir"], F.lit("\x1e"), F.array_join(F.transform(bodies, lambda b: b["body"]), ""), F.lit("\x1d"))
+        error = F.when(walk["most"] > 9_999, "a field exceeds 9999 bytes").when(total > 99_999, "the record exceeds 99999 bytes")
+        return F.struct(F.when(error.isNull(), text.cast("binary")).alias("bytes"), error.alias("error"), leader.alias("leader"))
+
+    def walked(bodies: Column) -> Column:
+        start = F.struct(F.lit("").alias("dir"), F.lit(0).alias("at"), F.lit(0).alias("most"))
+        return F.aggregate(
+            bodies,
+            start,
+            lambda acc, b: tx.once(
+                F.octet_length(b["body"]),
+                lambda n: F.struct(
+                    F.concat(acc["dir"], b["tag"], F.lpad(n.cast("string"), 4, "0"), F.lpad(acc["at"].cast("string"), 5, "0")).alias("dir"),
+                    (acc["at"] + n).alias("at"),
+                    F.greatest(acc["most"], n).alias("most"),
+                ),
+            ),
+        )
+
+    def record(m: Column) -> Column:
+        made = F.transform(m["fields"], lambda f: F.struct(f["tag"].alias("tag"), _field_body(f).alias("body")))
+        return tx.once(made, lambda bodies: tx.once(walked(bodies), lambda walk: written(m, bodies, walk)))
+
+    return tx.once(marc_col, record)
 
 
 def display(marc_col: Column) -> Column:
@@ -166,8 +181,12 @@ def marcxml(marc_col: Column) -> Column:
     data = lambda f: F.concat(
         F.lit('    <datafield tag="'), f["tag"], F.lit('" ind1="'), f["ind1"], F.lit('" ind2="'), f["ind2"], F.lit('">\n'), F.array_join(F.transform(f["subfields"], sub), ""), F.lit("    </datafield>\n")
     )
-    fields = F.array_join(F.transform(marc_col["fields"], lambda f: F.when(f["data"].isNotNull(), control(f)).otherwise(data(f))), "")
-    return F.concat(F.lit("  <record>\n    <leader>"), iso2709(marc_col)["leader"], F.lit("</leader>\n"), fields, F.lit("  </record>\n"))
+
+    def record(m: Column) -> Column:
+        fields = F.array_join(F.transform(m["fields"], lambda f: F.when(f["data"].isNotNull(), control(f)).otherwise(data(f))), "")
+        return F.concat(F.lit("  <record>\n    <leader>"), iso2709(m)["leader"], F.lit("</leader>\n"), fields, F.lit("  </record>\n"))
+
+    return tx.once(marc_col, record)
 
 
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
@@ -212,21 +231,27 @@ def jsonld(urn: str = URN) -> Column:
 
 
 def _ended(s: Column) -> Column:
-    return F.when(s.rlike(r"[.?!]\z"), s).otherwise(F.concat(s, F.lit(".")))
+    return tx.once(s, lambda x: F.when(x.rlike(r"[.?!]\z"), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def _cited(name: Column) -> Column:
-    inverted = invert_name(name)
-    surname = F.substring_index(inverted, ",", 1)
-    return F.when(is_organisation(name), name).otherwise(F.concat(F.upper(surname), F.substring(inverted, F.length(surname) + 1, F.length(inverted))))
+    def upper(inverted: Column) -> Column:
+        surname = F.substring_index(inverted, ",", 1)
+        return F.concat(F.upper(surname), F.substring(inverted, F.length(surname) + 1, F.length(inverted)))
+
+    return F.when(is_organisation(name), name).otherwise(tx.once(invert_name(name), upper))
 
 
 def iso690() -> Column:
     """The reference: creators, title and medium, publisher and year, identifier."""
-    creators, names = texts("creator"), F.transform(F.slice(texts("creator"), 1, 3), _cited)
-    n = F.size(names)
-    who = F.when(F.size(creators) > 3, F.concat(F.get(names, F.lit(0)), F.lit(" et al"))).when(n == 1, F.get(names, F.lit(0)))
-    who = who.otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(F.lit(0), n - 1)), ", "), F.lit(" and "), F.try_element_at(names, F.lit(-1))))
+    creators = texts("creator")
+
+    def listed_names(names: Column) -> Column:
+        n = F.size(names)
+        who = F.when(F.size(creators) > 3, F.concat(F.get(names, F.lit(0)), F.lit(" et al"))).when(n == 1, F.get(names, F.lit(0)))
+        return who.otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(F.lit(0), n - 1)), ", "), F.lit(" and "), F.try_element_at(names, F.lit(-1))))
+
+    who = tx.once(F.transform(F.slice(creators, 1, 3), _cited), listed_names)
     media, form = F.col("media_type"), F.lower(first("format"))
     medium = (
         F.when((media == "book") & form.contains("epub"), "[e-book]")
